@@ -17,7 +17,8 @@ def main() -> int:
 
     sf = f"/root/testdata/sf{sys.argv[1] if len(sys.argv) > 1 else '0.01'}"
     picks = sys.argv[2:]
-    spark = build_session("local[8]", 8, spark__driver__memory="16g", spark__ui__enabled="false")
+    spark = build_session("local[8]", 8, spark__driver__memory="16g", spark__ui__enabled="false",
+                          spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     sqls, bad = entry.oracle_sql(), 0

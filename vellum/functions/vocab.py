@@ -152,3 +152,59 @@ GREEK = {
     "χ": "chi", "ψ": "psi", "ω": "omega", "Σ": "Sigma", "Π": "Pi", "Δ": "Delta", "Θ": "Theta",
     "Λ": "Lambda",
 }
+
+# --- web results --------------------------------------------------------------
+BIOGRAPHICAL_TERMS = (
+    "son daughter wife husband father mother brother sister spouse partner child children youngest "
+    "oldest eldest parent sibling born died age birthday birthplace nationality married divorced "
+    "family").split()
+LOW_VALUE_DOMAINS = (
+    "merriam-webster.com", "dictionary.com", "dictionary.cambridge.org", "vocabulary.com",
+    "thesaurus.com", "collinsdictionary.com", "thefreedictionary.com", "macmillandictionary.com",
+    "lexico.com")
+LOW_VALUE_PATHS = ("/dictionary", "/define", "/meaning", "/thesaurus")
+PREFERRED_DOMAINS = (
+    "openai.com", "wikipedia.org", "britannica.com", "techcrunch.com", "time.com", "mashable.com",
+    "arstechnica.com", "ibm.com", "mindstudio.ai", "fifa.com", "sportingnews.com", "apnews.com",
+    "reuters.com")
+DEMOTED_DOMAINS = ("github.com", "chat4us")
+WEB = dict(vector_weight=0.72, min_relevance=0.42, strong_local=0.62, cap_below_local=0.02,
+           window=900, overlap=160, sentence_cut_after=320, max_non_ascii=0.12, max_cjk=0.15)
+
+# --- conversations ------------------------------------------------------------
+NOT_ENTITY = (
+    "The This That These Those When Where What Which While With From Into About More Some Also Then "
+    "Than Just Even Other Like Well Based Given According However Therefore Thus Since After Before "
+    "During Between Through Around Under Over Against Within Without Both Either Yes No Not But And "
+    "Or Nor So Yet For At By On In Of To Its Has Have Had Was Were Are Is Be He She They We You I "
+    "It").split()
+ENTITY_PHRASE = r"\b([A-Z][A-Za-z]{1,}(?:\s+[A-Z][A-Za-z]{1,})*)\b"
+
+# --- mathematical notation ----------------------------------------------------
+MATH_PATTERNS = (
+    r"[A-Za-zΑ-Ωα-ω]\s*=\s*[\d\(\[A-Za-zΑ-Ωα-ω]",
+    r"[αβγδεζηθμσρλπΣΠΔΩ]",
+    r"\b\d+\s*[\+\-×÷\*\/]\s*\d+",
+    r"\bE\s*\[|\bVar\s*\(|\bCov\s*\(",
+    r"r_[ipm]\b|\br_f\b|\bbeta\b",
+    r"\bsqrt\b|\bln\b|\blog\b|\bexp\b",
+)
+
+# --- run progress: (kind of test, text, phase, stage, percent) -----------------
+PROGRESS_RULES = (
+    (("starts:starting extraction project",), "running", "initializing", 2),
+    (("starts:collection:",), "running", "collection_ready", 4),
+    (("has:ingesting",), "ingestion", "ingesting", 8),
+    (("starts:building corpus index",), "running", "building_corpus", 18),
+    (("starts:warming llm",), "running", "warming_llm", 24),
+    (("starts:branch ",), "running", "branch_start", 30),
+    (("has:retrieving chunks",), "running", "retrieval", 36),
+    (("has:scan batch",), "running", "scan", 46),
+    (("has:synthesis",), "running", "synthesis", 60),
+    (("both:saved|checkpoint",), "running", "checkpointing", 68),
+    (("has:second pass",), "post", "second_pass", 78),
+    (("has:building report",), "report", "building_report", 88),
+    (("has:report saved to:",), "report", "report_saved", 96),
+    (("has:extraction complete", "has:report-only rerun complete"), "done", "completed", 100),
+    (("starts:error",), "error", "error", None),
+)
