@@ -100,6 +100,9 @@ COLLECTIONS_SQL = """collections AS (
 LIBRARY_SQL = f"WITH {DOCS_SQL}, {CHUNKS_SQL}, {COLLECTIONS_SQL}"
 
 
+CORPUS_ROLES = {"en": "body", "de": "toc", "fr": "frontmatter", "es": "metadata"}
+
+
 # --- text corpus ------------------------------------------------------------------
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """documents as retrievable chunks: the first word is the title, ``lang > source`` the path."""
@@ -108,12 +111,21 @@ def corpus(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text",
         F.regexp_extract("text", r"^[A-Za-z]+", 0).alias("title"),
         F.concat("lang", F.lit(" > "), "source").alias("path_text"),
-        F.col("lang").alias("source_type"), "n_chars")
+        F.col("lang").alias("source_type"), "n_chars",
+        _case(F.col("lang"), CORPUS_ROLES).alias("structural_role"),
+        (F.col("n_chars") % 60).cast("int").alias("page_start"),
+        T.estimate_tokens(F.col("text")).alias("token_count_est"),
+        F.contains("text", F.lit("|")).alias("has_table"))
+
+
+def benchmark_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
 CORPUS_SQL = """corpus AS (SELECT doc_id AS chunk_id, source AS doc_id, text,
   regexp_extract(text, '^[A-Za-z]+') AS title, lang||' > '||source AS path_text,
-  lang AS source_type, n_chars FROM documents)"""
+  lang AS source_type, n_chars, {role} AS structural_role, (n_chars % 60)::INT AS page_start,
+  {est} AS token_count_est, contains(text,'|') AS has_table FROM documents)"""
 
 NON_SPACE_SQL = T.vocab.NON_SPACE
 SPACE_SQL = T.vocab.SPACE
@@ -143,3 +155,7 @@ def estimate_sql(expr: str) -> str:
     w = word_count_sql(expr)
     return (f"CASE WHEN {w} = 0 THEN 0 ELSE greatest(floor({w} * 1.3::DOUBLE)::BIGINT, "
             f"length({expr}) // 3, 1) END")
+
+
+CORPUS_SQL = CORPUS_SQL.replace("{role}", _case_sql("lang", CORPUS_ROLES)).replace("{est}", estimate_sql("text"))
+QUERIES_SQL = "queries AS (SELECT item_id AS query_id, text AS query FROM benchmark)"

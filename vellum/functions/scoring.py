@@ -34,7 +34,7 @@ def header_blob(title: Column, path: Column, text: Column) -> Column:
 
 def contained(terms: Column, blob: Column) -> Column:
     """How many entries of ``terms`` occur in ``blob`` as substrings."""
-    return F.size(F.filter(terms, lambda t: F.contains(blob, t)))
+    return T.let(blob, lambda b: F.size(F.filter(terms, lambda t: F.contains(b, t))))
 
 
 def query_overlap_bonus(query: Column, blob: Column) -> Column:

@@ -13,6 +13,15 @@ def text_or_empty(col: Column) -> Column:
     return F.coalesce(col, F.lit(""))
 
 
+def let(col: Column, fn) -> Column:
+    """``fn(col)`` with ``col`` evaluated once, even where ``fn`` uses it inside a lambda.
+
+    A lambda body re-evaluates whatever expression it mentions for every element;
+    binding the value as the single element of an array avoids that.
+    """
+    return F.element_at(F.transform(F.array(col), fn), 1)
+
+
 def find_all(col: Column, pattern: str) -> Column:
     """Every non-overlapping match of ``pattern``; NULL input gives an empty array."""
     return F.regexp_extract_all(text_or_empty(col), F.lit(pattern), F.lit(0))

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_type
 
 QUERY_BLOCK = 256          # query vectors shipped to the tasks at a time
 DIGITS = 6
@@ -57,6 +58,8 @@ def _block_top_k(chunks: DataFrame, ids: list, mats: list[np.ndarray], weights:
     schema = ST.StructType([ST.StructField("query_id", qid_type), ST.StructField("chunk_id", id_type),
                             ST.StructField("score", ST.DoubleType())])
 
+    id_arrow, qid_arrow = to_arrow_type(id_type), to_arrow_type(qid_type)
+
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = [np.empty(0, dtype=object) for _ in ids]
         vals = [np.empty(0) for _ in ids]
@@ -92,8 +95,9 @@ def _block_top_k(chunks: DataFrame, ids: list, mats: list[np.ndarray], weights:
         out = [(q, c, float(v)) for q, ks, vs in zip(ids, keys, vals) for c, v in zip(ks, vs)]
         if out:
             q, c, v = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(c), pa.array(v, pa.float64())],
-                                             names=["query_id", "chunk_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(q, qid_arrow), pa.array(c, id_arrow), pa.array(v, pa.float64())],
+                names=["query_id", "chunk_id", "score"])
 
     return chunks.select("chunk_id", "embedding").mapInArrow(local, schema)
 

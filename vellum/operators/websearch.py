@@ -19,11 +19,11 @@ def match_counts(pages: DataFrame, terms: DataFrame, key: str, text: str) -> Dat
     if len(rows) > TERM_BLOCK * 64:
         raise ValueError("too many terms for one screening pass; split the term table")
     words = [r["term"] for r in rows]
-    low = F.lower(F.col(text))
     found = F.lit(0)
     for i in range(0, len(words), TERM_BLOCK):
         block = T.word_array(words[i:i + TERM_BLOCK])
-        found = found + F.size(F.filter(block, lambda t: F.contains(low, t)))
+        found = found + T.let(F.lower(F.col(text)), lambda low: F.size(
+            F.filter(block, lambda t: F.contains(low, t))))
     return pages.select(key, found.alias("matches"))
 
 
