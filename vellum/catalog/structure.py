@@ -274,7 +274,7 @@ SEG_SQL = """l AS (SELECT conv_id, list(length(text)::BIGINT ORDER BY turn) AS l
   'seg': CASE WHEN a.u >= target AND a.seg-1 < 2 THEN a.seg+1 ELSE a.seg END, 'o': list_append(a.o, CASE WHEN a.u >= target AND a.seg-1 < 2 THEN a.seg+1 ELSE a.seg END)}}) AS z FROM t)
 SELECT conv_id, unnest(turns) AS turn, unnest(list_prepend(1::BIGINT, z.o)) AS segment FROM r""")
 def _(spark, sf):
-    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(
+    g = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(
         F.struct("turn", F.length("text").cast("bigint").alias("n")))).alias("m"))
     nums = folds.segment_numbers(F.transform("m", lambda s: s["n"]), F.lit(3))
     z = F.arrays_zip(F.transform("m", lambda s: s["turn"]).alias("turn"), nums.alias("segment"))

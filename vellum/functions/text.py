@@ -55,17 +55,22 @@ def word_count(col: Column) -> Column:
     return F.regexp_count(text_or_empty(col), F.lit(vocab.NON_SPACE + "+"))
 
 
+# The characters of vocab.SPACE, for the native trims.
+SPACE_CHARS = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+               "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def strip(col: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(text_or_empty(col), f"^{vocab.SPACE}+|{vocab.SPACE}+$", "")
+    return F.btrim(text_or_empty(col), F.lit(SPACE_CHARS))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(text_or_empty(col), f"{vocab.SPACE}+$", "")
+    return F.rtrim(text_or_empty(col), F.lit(SPACE_CHARS))
 
 
 def lstrip(col: Column) -> Column:
-    return F.regexp_replace(text_or_empty(col), f"^{vocab.SPACE}+", "")
+    return F.ltrim(text_or_empty(col), F.lit(SPACE_CHARS))
 
 
 def none_if_empty(col: Column) -> Column:
@@ -86,10 +91,9 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def estimate_tokens(col: Column) -> Column:
     """Token estimate: the larger of 1.3 x words and characters / 3, at least 1; 0 when blank."""
-    words = word_count(col)
-    by_words = F.floor(words * F.lit(1.3)).cast("int")
     by_chars = F.floor(F.length(col) / 3).cast("int")
-    return F.when(words == 0, F.lit(0)).otherwise(F.greatest(by_words, by_chars, F.lit(1)))
+    return let(word_count(col), lambda words: F.when(words == 0, F.lit(0)).otherwise(
+        F.greatest(F.floor(words * F.lit(1.3)).cast("int"), by_chars, F.lit(1))))
 
 
 def path_slug(col: Column) -> Column:

@@ -15,8 +15,9 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.filter(F.transform(F.split(text, pattern, -1), T.strip), lambda s: F.length(s) > 0)
 
 
-def _unit(text: Column, scope: Column, solid: Column, sep: str) -> Column:
-    return F.struct(text.alias("text"), T.estimate_tokens(text).alias("size"), scope.alias("scope"),
+def _unit(text: Column, scope: Column, solid: Column, sep: str, size: Column | None = None) -> Column:
+    size = T.estimate_tokens(text) if size is None else size
+    return F.struct(text.alias("text"), size.alias("size"), scope.alias("scope"),
                     solid.alias("solid"), F.lit(sep).alias("sep"))
 
 
@@ -34,14 +35,14 @@ def paragraph_segments(text: Column, max_tokens: int = P["max_tokens"], max_char
 
     def sentence_units(para: Column, i: Column) -> Column:
         def units(s: Column) -> Column:
-            big = T.estimate_tokens(s) > max_tokens
-            return F.when(big, F.transform(folds.word_windows(s, words), lambda w: _unit(w, i, F.lit(True), " "))
-                          ).otherwise(F.array(_unit(s, i, F.lit(False), " ")))
+            return T.let(T.estimate_tokens(s), lambda n: F.when(
+                n > max_tokens, F.transform(folds.word_windows(s, words), lambda w: _unit(w, i, F.lit(True), " "))
+            ).otherwise(F.array(_unit(s, i, F.lit(False), " ", n))))
         return F.flatten(F.transform(_pieces(para, SENTENCE_BREAK), units))
 
     def para_units(para: Column, i: Column) -> Column:
-        whole = F.array(_unit(para, F.lit(-1), F.lit(False), "\n\n"))
-        return F.when(T.estimate_tokens(para) > max_tokens, sentence_units(para, i)).otherwise(whole)
+        return T.let(T.estimate_tokens(para), lambda n: F.when(n > max_tokens, sentence_units(para, i)).otherwise(
+            F.array(_unit(para, F.lit(-1), F.lit(False), "\n\n", n))))
 
     units = F.flatten(F.transform(_pieces(text, r"\n{2,}"), para_units))
     return _cap(folds.pack_units(units, max_tokens), max_chars)
@@ -83,7 +84,7 @@ def merge_small(chunks: DataFrame, min_tokens: int = P["min_tokens"], most: int
     id and page_start.
     """
     cols = [c for c in chunks.columns if c not in ("doc_id", "idx")]
-    listed = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", *cols))).alias("_all"))
+    listed = chunks.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("idx", *cols))).alias("_all"))
 
     def rebuilt(base: Column, new: dict[str, Column]) -> Column:
         return F.struct(*[new.get(c, base[c]).alias(c) for c in ["idx", *cols]])
@@ -149,5 +150,5 @@ def apply_page_replacements(chunks: DataFrame, artifacts: DataFrame) -> DataFram
     pages = chunks.where("page_start IS NOT NULL").select(
         "chunk_id", "doc_id", F.explode(F.sequence("page_start", F.greatest("page_start", "page_end"))).alias("_page"))
     texts = pages.join(use, ["doc_id", "_page"]).groupBy("chunk_id").agg(F.array_join(F.array_distinct(F.transform(
-        F.array_sort(F.collect_list(F.struct("_page", "artifact_index", "_t"))), lambda s: s["_t"])), "\n\n").alias("_new"))
+        F.sort_array(F.collect_list(F.struct("_page", "artifact_index", "_t"))), lambda s: s["_t"])), "\n\n").alias("_new"))
     return chunks.join(texts, "chunk_id", "left").withColumn("text", F.coalesce("_new", "text")).drop("_new")

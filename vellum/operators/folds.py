@@ -53,12 +53,15 @@ def char_windows(text: Column, width: int, overlap: int = 0) -> Column:
 
 
 def word_windows(text: Column, most: int) -> Column:
-    words = T.space_tokens(text)
-    n = F.greatest(F.lit(1), F.ceil(F.size(words) / most)).cast("int")
-    joined = T.let(words, lambda w: F.transform(F.sequence(F.lit(0), n - 1),
-                                                lambda i: F.array_join(F.slice(w, i * most + 1, most), " ")))
-    long = vocab.CHUNKING["max_chars"]
-    return F.flatten(F.transform(joined, lambda s: char_windows(s, long, vocab.CHUNKING["overlap_chars"])))
+    long, over = vocab.CHUNKING["max_chars"], vocab.CHUNKING["overlap_chars"]
+
+    def windows(words: Column) -> Column:
+        last = F.greatest(F.lit(1), F.ceil(F.size(words) / most)).cast("int") - 1
+        joined = F.transform(F.sequence(F.lit(0), last),
+                             lambda i: F.array_join(F.slice(words, i * most + 1, most), " "))
+        return F.flatten(F.transform(joined, lambda s: char_windows(s, long, over)))
+
+    return T.let(T.space_tokens(text), windows)
 
 
 def simulated_pages(text: Column) -> Column:

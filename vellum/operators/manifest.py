@@ -100,7 +100,7 @@ def expand_queries(queries: DataFrame, acronyms: DataFrame, per_token: int = 2)
         F.size(F.array_except(F.split("phrase", " "), F.col("_have"))) > 0)
     w = Window.partitionBy("query_id", "pos").orderBy("rank")
     chosen = hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_token)
-    parts = chosen.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(
+    parts = chosen.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(
         F.collect_list(F.struct("pos", "_r", "phrase"))), lambda s: s["phrase"]), " ").alias("_more"))
     return queries.join(parts, "query_id", "left").select(
         "query_id", F.concat_ws(" ", "query", "_more").alias("expanded_query"),

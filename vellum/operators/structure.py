@@ -25,9 +25,8 @@ def _body_start(ls: Column) -> Column:
 
 def frontmatter(docs: DataFrame) -> DataFrame:
     """(doc_id, key, value) of ``key: value`` lines in a terminated frontmatter block; last key wins."""
-    ls = F.split(C.unix_newlines(F.col("text")), "\n", -1)
-    head = docs.select("doc_id", F.slice(ls, 1, _body_start(ls)).alias("ls")).select(
-        "doc_id", F.posexplode("ls").alias("pos", "line"))
+    block = T.let(F.split(C.unix_newlines(F.col("text")), "\n", -1), lambda ls: F.slice(ls, 1, _body_start(ls)))
+    head = docs.select("doc_id", F.posexplode(block).alias("pos", "line"))
     kv = head.where(F.contains("line", F.lit(":")) & (T.strip(F.col("line")) != "---")).select(
         "doc_id", "pos", T.strip(F.regexp_extract("line", r"^([^:]*):", 1)).alias("key"),
         T.strip(F.regexp_extract("line", r"^[^:]*:(.*)$", 1)).alias("value"))
@@ -35,9 +34,11 @@ def frontmatter(docs: DataFrame) -> DataFrame:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    ls = F.split(C.unix_newlines(F.col("text")), "\n", -1)
-    raw = docs.select("doc_id", _body_start(ls).alias("_start"), F.posexplode(ls).alias("pos", "raw")).where(
-        "pos >= _start")
+    # The body is cut inside the row: a start column kept beside the generator would be
+    # re-evaluated, whole text and all, for every exploded line.
+    body = T.let(F.split(C.unix_newlines(F.col("text")), "\n", -1), lambda ls: T.let(
+        _body_start(ls), lambda b: F.slice(ls, b + 1, F.size(ls))))
+    raw = docs.select("doc_id", F.posexplode(body).alias("pos", "raw"))
     line = T.rstrip(F.col("raw"))
     marked = raw.select("doc_id", "pos", line.alias("line"),
                         F.regexp_extract(T.strip(line), PAGE_MARKER, 1).alias("_pg"),
@@ -65,7 +66,7 @@ def sections(docs: DataFrame) -> DataFrame:
     grouped = rows.groupBy("doc_id", "section_idx").agg(
         F.max(F.when(heading, F.col("_title"))).alias("title"), F.max(F.when(heading, F.col("_lvl"))).alias("level"),
         F.max(F.when(heading, F.col("_page"))).alias("_first"), F.max_by("_page", "pos").alias("page_end"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda s: s["t"]), "\n").alias("_c"))
+        F.array_join(F.transform(F.sort_array(F.collect_list(piece)), lambda s: s["t"]), "\n").alias("_c"))
     content = T.strip(F.col("_c"))
     flat = grouped.select(
         "doc_id", "section_idx", "title", "level", F.coalesce("_first", "page_end").alias("page_start"), "page_end",
@@ -101,7 +102,7 @@ def preambles(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = _lines(docs).withColumn("_s", F.sum(F.col("is_heading").cast("int")).over(order)).where(
         "_s = 0 AND NOT is_marker")
-    return rows.groupBy("doc_id").agg(T.strip(F.array_join(F.transform(F.array_sort(
+    return rows.groupBy("doc_id").agg(T.strip(F.array_join(F.transform(F.sort_array(
         F.collect_list(F.struct("pos", "line"))), lambda s: s["line"]), "\n")).alias("preamble"))
 
 

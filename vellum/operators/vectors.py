@@ -44,7 +44,7 @@ def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
     parts = vectors.select(F.col(key).alias("query_id"), F.posexplode(_double(F.col(vector))))
     mean = parts.groupBy("query_id", "pos").agg(F.avg("col").alias("x"))
     return mean.groupBy("query_id").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vector"))
+        F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vector"))
 
 
 def _matrix(vectors: Sequence[Sequence[float]]) -> np.ndarray:
