@@ -12,7 +12,7 @@ EXTRACTION_TOKEN = r"[a-z0-9]+"
 # Same language as the two-branch topic pattern: the long branch also takes every
 # token of two or more characters, so only a trailing run can differ.
 TOPIC_TOKEN = r"[a-zA-Z][a-zA-Z0-9_\-]*[a-zA-Z0-9]|[a-zA-Z]{3,}"
-YEAR = r"\b(?:19|20)\d{2}\b"
+YEAR = r"(?U)\b(?:19|20)\d{2}\b"
 # Unicode white space, spelled out so Java and RE2 agree on it.
 SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NON_SPACE = r"[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
@@ -178,7 +178,7 @@ NOT_ENTITY = (
     "During Between Through Around Under Over Against Within Without Both Either Yes No Not But And "
     "Or Nor So Yet For At By On In Of To Its Has Have Had Was Were Are Is Be He She They We You I "
     "It").split()
-ENTITY_PHRASE = r"\b([A-Z][A-Za-z]{1,}(?:\s+[A-Z][A-Za-z]{1,})*)\b"
+ENTITY_PHRASE = r"(?U)\b([A-Z][A-Za-z]{1,}(?:\s+[A-Z][A-Za-z]{1,})*)\b"
 
 # --- mathematical notation ----------------------------------------------------
 MATH_PATTERNS = (
