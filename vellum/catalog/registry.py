@@ -33,5 +33,22 @@ def query(name: str, covers: str, sql: str | None = None) -> Callable[[QueryFn],
     return wrap
 
 
+TEXT_TABLES = ("documents", "pages")
+SMALL_INPUT = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table; a small text file is spread over the cores before CPU-heavy work.
+
+    One row group is one task however many cores wait.  Only inputs below
+    ``SMALL_INPUT`` bytes are spread, so a large table is never shuffled for it.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name in TEXT_TABLES and scan_bytes(df) < SMALL_INPUT:
+        return df.repartition(spark.sparkContext.defaultParallelism)
+    return df
+
+
+def scan_bytes(df: DataFrame) -> int:
+    """Size of the input files as the planner sees it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -127,8 +127,10 @@ CORPUS_SQL = """corpus AS (SELECT doc_id AS chunk_id, source AS doc_id, text,
   lang AS source_type, n_chars, {role} AS structural_role, (n_chars % 60)::INT AS page_start,
   {est} AS token_count_est, contains(text,'|') AS has_table FROM documents)"""
 
-NON_SPACE_SQL = T.vocab.NON_SPACE
-SPACE_SQL = T.vocab.SPACE
+# RE2 has no Unicode switch, so the same characters are listed one by one.
+_SPACES = r"\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+NON_SPACE_SQL = f"[^{_SPACES}]"
+SPACE_SQL = f"[{_SPACES}]"
 
 
 def tokens_sql(expr: str) -> str:

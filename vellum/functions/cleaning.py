@@ -24,8 +24,8 @@ def clean_markdown(col: Column) -> Column:
     # Only a leader at the very end of the text qualifies.
     s = F.regexp_replace(s, "(?Ud)([\\w)\\]])[\\x{FFFD}.·•]{6,}\\s*(\\d{1,4})(\\n?)\\z", "$1 ... $2$3")
     s = F.regexp_replace(s, r"\x{FFFD}{2,}", " ")
-    s = F.regexp_replace(s, rf"([A-Za-z])[-\x{{AD}}]{vocab.SPACE}*\n{vocab.SPACE}*([a-z])", "$1$2")
-    s = F.regexp_replace(s, rf"(?md)^{vocab.SPACE}*[{''.join(vocab.BULLETS)}]{vocab.SPACE}+", "- ")
+    s = F.regexp_replace(s, rf"(?U)([A-Za-z])[-\x{{AD}}]{vocab.SPACE}*\n{vocab.SPACE}*([a-z])", "$1$2")
+    s = F.regexp_replace(s, rf"(?mdU)^{vocab.SPACE}*[{''.join(vocab.BULLETS)}]{vocab.SPACE}+", "- ")
     tidy = F.transform(lines(s), lambda ln: F.when(ln.startswith("```"), ln).otherwise(
         T.rstrip(F.regexp_replace(ln, r"[ \t]{2,}", " "))))
     s = F.regexp_replace(F.array_join(tidy, "\n"), r"\n\z", "")
@@ -134,5 +134,5 @@ def is_appendix_divider(col: Column) -> Column:
 # --- report text ------------------------------------------------------------------
 def sentences(col: Column) -> Column:
     """Split after . ! ? followed by white space; empty pieces dropped, pieces trimmed."""
-    parts = F.split(T.strip(col), rf"(?<=[.!?]){vocab.SPACE}+", -1)
+    parts = F.split(T.strip(col), rf"(?U)(?<=[.!?]){vocab.SPACE}+", -1)
     return F.filter(F.transform(parts, T.strip), lambda s: F.length(s) > 0)

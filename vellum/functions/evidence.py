@@ -19,7 +19,7 @@ CROSS_REFERENCES = ("refer to", "see appendix", "see form", "good faith efforts"
 
 def strip_html(col: Column) -> Column:
     s = F.regexp_replace(T.text_or_empty(col), r"<[^>]+>", "")
-    return T.strip(F.regexp_replace(s, vocab.SPACE + "+", " "))
+    return T.strip(F.regexp_replace(s, vocab.SPACES, " "))
 
 
 def strip_wrappers(col: Column) -> Column:
@@ -55,7 +55,7 @@ def evidence_class(clean: Column) -> Column:
 def source_kind(text: Column, filename: Column) -> Column:
     """Document bucket by ordered phrase rules over the file name and the whole text."""
     hay = F.regexp_replace(F.lower(F.concat(T.text_or_empty(filename), F.lit("\n"), T.text_or_empty(text))),
-                           vocab.SPACE + "+", " ")
+                           vocab.SPACES, " ")
     out = F
     for kind, any_of, groups in vocab.SOURCE_KIND_RULES:
         cond = T.contains_any(hay, any_of)
@@ -103,7 +103,7 @@ def clean_report_text(col: Column, strip_footers: bool = False, keep_lines: bool
     if keep_lines:
         s = F.regexp_replace(F.regexp_replace(s, r"[ \t]+", " "), r"\n{3,}", "\n\n")
         return T.strip(F.array_join(F.transform(C.lines(s), T.rstrip), "\n"))
-    return T.strip(F.regexp_replace(s, vocab.SPACE + "+", " "))
+    return T.strip(F.regexp_replace(s, vocab.SPACES, " "))
 
 
 def looks_truncated(col: Column) -> Column:

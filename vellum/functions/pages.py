@@ -41,7 +41,7 @@ def markup_to_text(col: Column) -> Column:
 
 def visible_text(col: Column) -> Column:
     s = unescape_entities(markup_to_text(col))
-    return T.strip(F.regexp_replace(s, vocab.SPACE + "+", " "))
+    return T.strip(F.regexp_replace(s, vocab.SPACES, " "))
 
 
 def low_quality(col: Column) -> Column:

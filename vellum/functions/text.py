@@ -48,11 +48,11 @@ def extraction_tokens(col: Column) -> Column:
 
 def space_tokens(col: Column) -> Column:
     """Runs of non-white-space characters (Unicode white space)."""
-    return find_all(col, vocab.NON_SPACE + "+")
+    return find_all(col, vocab.NON_SPACES)
 
 
 def word_count(col: Column) -> Column:
-    return F.regexp_count(text_or_empty(col), F.lit(vocab.NON_SPACE + "+"))
+    return F.regexp_count(text_or_empty(col), F.lit(vocab.NON_SPACES))
 
 
 # The characters of vocab.SPACE, for the native trims.

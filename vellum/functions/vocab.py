@@ -13,9 +13,11 @@ EXTRACTION_TOKEN = r"[a-z0-9]+"
 # token of two or more characters, so only a trailing run can differ.
 TOPIC_TOKEN = r"[a-zA-Z][a-zA-Z0-9_\-]*[a-zA-Z0-9]|[a-zA-Z]{3,}"
 YEAR = r"(?U)\b(?:19|20)\d{2}\b"
-# Unicode white space, spelled out so Java and RE2 agree on it.
-SPACE = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-NON_SPACE = r"[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+# Unicode white space plus the four separator controls; meant for patterns under (?U).
+SPACE = r"[\s\x1C-\x1F]"
+NON_SPACE = r"[^\s\x1C-\x1F]"
+SPACES = "(?U)" + SPACE + "+"
+NON_SPACES = "(?U)" + NON_SPACE + "+"
 
 # --- word lists ---------------------------------------------------------------
 QUERY_STOPWORDS = "the a an of and for to in on at by with".split()
