@@ -135,7 +135,8 @@ def chunks(spark, sf):
         F.col("doc_id").alias("chunk_id"), F.col("source").alias("source_name"), (F.col("n_chars") % 60).cast("int").alias("page_start"), "text", "n_chars")
 
 
-BASE = F.col("n_chars") % 97 / F.lit(100.0)
+def base_score():
+    return F.col("n_chars") % 97 / F.lit(100.0)
 
 
 def _branch_sql() -> str:
@@ -155,7 +156,7 @@ POOL_SQL = _branch_sql()
 
 
 def pool(spark, sf):
-    return X.branch_pools(chunks(spark, sf), BRANCHES, BASE)
+    return X.branch_pools(chunks(spark, sf), BRANCHES, base_score())
 
 
 @query("branch_pools", "EX-1 EX-2 FN-34 JN-14", POOL_SQL + " SELECT branch_name, chunk_id, score, priority_weight, pool_rank FROM pool")
