@@ -210,7 +210,7 @@ def _(spark, sf):
 SELECT COALESCE(o.chunk_id, s.chunk_id) AS chunk_id, COALESCE(o.doc_id, s.doc_id) AS doc_id,
  CASE WHEN s.chunk_id IS NULL THEN o.text ELSE 'new' END AS text,
  CASE WHEN s.chunk_id IS NULL THEN o.title ELSE 'Summary' END AS title,
- CASE WHEN s.chunk_id IS NULL THEN o.source_name ELSE 'llm' END AS source_name,
+ CASE WHEN s.chunk_id IS NULL THEN o.source_name ELSE 'model' END AS source_name,
  COALESCE(o.structural_role, 'document_summary') AS structural_role
 FROM old o FULL JOIN s ON s.chunk_id=o.chunk_id""")
 def _(spark, sf):
@@ -223,7 +223,7 @@ def _(spark, sf):
     old = c.select("chunk_id", "doc_id", "text", F.col("document_title").alias("title"),
                    F.col("filename").alias("source_name"), "structural_role").unionByName(stored)
     new = ids.select("chunk_id", "doc_id", F.lit("new").alias("text"), F.lit("Summary").alias("title"),
-                     F.lit("llm").alias("source_name"), F.lit("document_summary").alias("structural_role"))
+                     F.lit("model").alias("source_name"), F.lit("document_summary").alias("structural_role"))
     return L.upsert_summary_chunks(old.select(cols), new.select(cols))
 
 

@@ -21,9 +21,9 @@ def jobs(spark, sf):
         F.lpad(F.col("o_orderkey").cast("string"), 10, "0").alias("job_id"),
         F.when(st == "O", "pending").when(st == "P", "running").otherwise("done").alias("status"),
         (F.col("o_orderkey") % 5).alias("attempts"), F.lit(3).cast("bigint").alias("max_attempts"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"),
-        F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp").alias("finished_at"),
-        F.lit(None).cast("timestamp").alias("started_at"))
+        F.col("o_orderdate").alias("created_at"),
+        F.lit(None).cast("string").alias("error"), F.lit(None).cast("timestamp_ntz").alias("finished_at"),
+        F.lit(None).cast("timestamp_ntz").alias("started_at"))
 
 
 def messages(spark, sf):
@@ -44,7 +44,7 @@ def conversations(spark, sf):
         "archived", F.when(F.col("conversation_id") % 4 == 0, 1).otherwise(0).cast("bigint"))
 
 
-NOW = "TIMESTAMP '2024-06-01 00:00:00'"
+NOW = "TIMESTAMP_NTZ '2024-06-01 00:00:00'"
 
 
 @query("claim_next_job", "OP-1 SO-5", JOBS_SQL + """, pick AS (SELECT job_id FROM jobs WHERE status='pending' AND attempts < max_attempts
@@ -117,7 +117,7 @@ def _(spark, sf):
 @query("archive_stale_conversations", "OP-5 FN-54", CONV_SQL + """
 SELECT conversation_id, CASE WHEN archived=0 AND updated_at < TIMESTAMP '2024-02-10 00:00:00' - INTERVAL 7 DAY THEN 1 ELSE archived END::BIGINT AS archived FROM convs""")
 def _(spark, sf):
-    return O.archive_stale(conversations(spark, sf), F.expr("TIMESTAMP '2024-02-10 00:00:00'"), 7).select(
+    return O.archive_stale(conversations(spark, sf), F.expr("TIMESTAMP_NTZ '2024-02-10 00:00:00'"), 7).select(
         "conversation_id", F.col("archived").cast("bigint").alias("archived"))
 
 
@@ -219,4 +219,4 @@ def _(spark, sf):
     c = table(spark, sf, "events").select(
         F.sha2(F.concat_ws("|", "event_type", F.col("user_id").cast("string")), 256).alias("key"),
         F.col("event_id").alias("value"), (F.col("ts") + F.expr("INTERVAL 24 HOURS")).alias("expires_at"))
-    return O.live_cache_entries(c, F.expr("TIMESTAMP '2024-01-05 00:00:00'"))
+    return O.live_cache_entries(c, F.expr("TIMESTAMP_NTZ '2024-01-05 00:00:00'"))

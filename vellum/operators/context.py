@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql import types as ST
 
 from vellum.functions import scoring as S, text as T, vocab
 from vellum.operators import ranking as R
@@ -28,17 +27,14 @@ def drop_repeated(hits: DataFrame) -> DataFrame:
 def drop_near_duplicates(hits: DataFrame, threshold: float = NEAR_DUP) -> DataFrame:
     """Greedy removal against kept hits of the same document, per query.
 
-    A query carries at most its candidate count, so the fold's group is bounded; it
-    receives token lists, not texts.
+    A query carries at most its candidate count, so the fold's group is bounded.  Rows
+    pass through the fold whole: joining ids back would compute the hits twice.
     """
-    qid, cid = hits.schema["query_id"].dataType, hits.schema["chunk_id"].dataType
-    schema = ST.StructType([ST.StructField("query_id", qid), ST.StructField("chunk_id", cid)])
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("position", kind="stable")
+        pdf = pdf.sort_values("position", kind="stable").reset_index(drop=True)
         kept: dict[object, list[frozenset]] = {}
         out = []
-        for c, d, toks in zip(pdf["chunk_id"], pdf["doc_id"], map(frozenset, pdf["tokens"])):
+        for i, (d, toks) in enumerate(zip(pdf["doc_id"], map(frozenset, pdf["_tokens"]))):
             for seen in kept.get(d, ()):
                 both = len(toks & seen)
                 either = len(toks) + len(seen) - both
@@ -46,13 +42,11 @@ def drop_near_duplicates(hits: DataFrame, threshold: float = NEAR_DUP) -> DataFr
                     break
             else:
                 kept.setdefault(d, []).append(toks)
-                out.append(c)
-        return pd.DataFrame({"query_id": pdf["query_id"].iloc[0], "chunk_id": out})
+                out.append(i)
+        return pdf.loc[out].drop(columns="_tokens")
 
-    slim = hits.select("query_id", "chunk_id", "doc_id", "position",
-                       F.array_distinct(T.near_duplicate_tokens(F.col("text"))).alias("tokens"))
-    kept = slim.groupBy("query_id").applyInPandas(fold, schema)
-    return hits.join(kept, ["query_id", "chunk_id"], "left_semi")
+    tokens = F.array_distinct(T.near_duplicate_tokens(F.col("text")))
+    return hits.withColumn("_tokens", tokens).groupBy("query_id").applyInPandas(fold, hits.schema)
 
 
 def rank_with_authority(hits: DataFrame, corpus_preferred: bool) -> DataFrame:
@@ -71,20 +65,20 @@ def diversify(ranked: DataFrame, k: int, intent: Column) -> DataFrame:
     The stand-in is the first later row of another document whose raw score is within
     the gap of the last selected row's raw score.
     """
-    r = ranked.withColumn("_in", F.col("authority_rank") <= k)
-    sel = r.where("_in").groupBy("query_id").agg(
-        F.countDistinct("doc_id").alias("_docs"), F.max("doc_id").alias("_doc"), F.count("*").alias("_n"),
-        F.max_by("score", "authority_rank").alias("_tail"))
-    j = r.join(sel, "query_id")
-    fit = (~F.col("_in") & (F.col("_docs") == 1) & (F.col("doc_id") != F.col("_doc"))
+    q = Window.partitionBy("query_id")
+    inside = F.col("authority_rank") <= k
+    r = ranked.withColumns({
+        "_n": F.count(F.when(inside, 1)).over(q), "_lo": F.min(F.when(inside, F.col("doc_id"))).over(q),
+        "_hi": F.max(F.when(inside, F.col("doc_id"))).over(q)})
+    r = r.withColumn("_tail", F.max(F.when(F.col("authority_rank") == F.col("_n"), F.col("score"))).over(q))
+    fit = (~inside & (F.col("_lo") == F.col("_hi")) & (F.col("doc_id") != F.col("_hi"))
            & (F.col("_tail") - F.col("score") <= MAX_GAP + 1e-12) & intent.isin(*vocab.DIVERSIFY_INTENTS))
-    alt = j.where(fit).groupBy("query_id").agg(F.min("authority_rank").alias("_alt"))
-    out = j.join(alt, "query_id", "left")
-    chosen = F.when(F.col("_alt").isNull(), F.col("_in")).otherwise(
+    r = r.withColumn("_alt", F.min(F.when(fit, F.col("authority_rank"))).over(q))
+    chosen = F.when(F.col("_alt").isNull(), inside).otherwise(
         (F.col("authority_rank") < F.col("_n")) | (F.col("authority_rank") == F.col("_alt")))
-    w = Window.partitionBy("query_id").orderBy("authority_rank")
-    return out.where(chosen).withColumn("selected_rank", F.row_number().over(w).cast("bigint")).withColumn(
-        "diversified", F.col("_alt").isNotNull()).drop("_in", "_docs", "_doc", "_n", "_tail", "_alt")
+    w = q.orderBy("authority_rank")
+    return r.where(chosen).withColumn("selected_rank", F.row_number().over(w).cast("bigint")).withColumn(
+        "diversified", F.col("_alt").isNotNull()).drop("_n", "_lo", "_hi", "_tail", "_alt")
 
 
 def boundary_order(selected: DataFrame, rank: str = "selected_rank") -> DataFrame:
