@@ -1,4 +1,4 @@
-"""How stored document paths are shown, and what a file name says about its source."""
+"""How stored document paths are shown."""
 
 from __future__ import annotations
 
@@ -21,12 +21,3 @@ def display_path(path: Column, mode: str = "full", root: str | None = None) -> C
         shown = path
     return F.when(T.none_if_empty(path).isNull(), path).otherwise(shown)
 
-
-# Extension -> source type.
-EXTENSION_TYPES = {".pdf": "pdf_book", ".docx": "docx", ".csv": "data", ".json": "data",
-                   ".html": "web", ".htm": "web"}
-CODE_EXTENSIONS = (".py", ".js", ".ts", ".java", ".c", ".cpp", ".h", ".go", ".rs", ".rb", ".sql", ".sh")
-
-
-def extension(name: Column) -> Column:
-    return F.lower(F.regexp_extract(name, r"(\.[A-Za-z0-9]+)$", 1))

@@ -9,8 +9,6 @@ from __future__ import annotations
 SEARCH_TOKEN = r"[A-Za-z][A-Za-z0-9_\-\.]+"
 WORD_TOKEN = r"[A-Za-z0-9_\-\.]+"
 EXTRACTION_TOKEN = r"[a-z0-9]+"
-# Same language as the two-branch topic pattern: the long branch also takes every
-# token of two or more characters, so only a trailing run can differ.
 TOPIC_TOKEN = r"[a-zA-Z][a-zA-Z0-9_\-]*[a-zA-Z0-9]|[a-zA-Z]{3,}"
 YEAR = r"(?U)\b(?:19|20)\d{2}\b"
 # Unicode white space plus the four separator controls; meant for patterns under (?U).
