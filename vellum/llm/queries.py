@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import main_text, packing, simhash, token_counts, warc
+from vellum.llm import fertility, main_text, packing, simhash, token_counts, warc
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,9 @@ SELECT d.page_id, d.payload_bytes, d.payload_digest,
        CASE WHEN f.first <> d.page_id THEN f.first END AS refers_to
 FROM d LEFT JOIN f USING (payload_digest)
 """
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and fertility verdict of every document."""
+    return fertility.quality_rules(table(spark, sf_dir, "documents"))
