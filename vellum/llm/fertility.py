@@ -25,7 +25,7 @@ from vellum.llm.shared import vocabulary_path
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 #: Words a worker remembers the pieces of before it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 #: Documents whose words are looked up together.
 TOGETHER = 250
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import fertility, main_text, packing, simhash, token_counts, warc
+from vellum.llm import fertility, main_text, ordinal, packing, simhash, token_counts, warc
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,11 @@ FROM d LEFT JOIN f USING (payload_digest)
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and fertility verdict of every document."""
     return fertility.quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, expected grade and selection of every document."""
+    docs = table(spark, sf_dir, "documents")
+    model = ordinal.train(docs, ordinal.graded(table(spark, sf_dir, "labels")))
+    return ordinal.score(docs, model).withColumn("kept", ordinal.selected())
