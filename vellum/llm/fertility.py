@@ -187,12 +187,34 @@ def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", band
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 ids, texts, langs = (c.to_pylist() for c in batch.slice(i, TOGETHER).columns)
-                words = [t.encode().split() for t in texts]
-                bags = [Counter(w) for w in words]
-                fertility.learn(bags)
-                found = [(doc, *assess(t, lang, w, bag, fertility, used))
-                         for doc, t, lang, w, bag in zip(ids, texts, langs, words, bags)]
+                found = [(doc, *x) for doc, x in zip(ids, assess_all(texts, langs, fertility, used))]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), _TYPES)],
                                                  schema=_ARROW)
 
     return rows.mapInArrow(run, SCHEMA)
+
+
+def assess_all(texts: list[str], langs: list, fertility: Fertility, bands: dict[str, Band]) -> list[tuple]:
+    words = [t.encode().split() for t in texts]
+    bags = [Counter(w) for w in words]
+    fertility.learn(bags)
+    return [assess(t, lang, w, bag, fertility, bands) for t, lang, w, bag in zip(texts, langs, words, bags)]
+
+
+def keep_sound(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", bands: dict[str, Band] | None = None,
+               text_col: str = "text", lang_col: str | None = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, that :func:`quality_rules` keeps."""
+    path, used = vocabulary_path(vocabulary), bands or BANDS
+    text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fertility = _fertility(path)
+        for batch in batches:
+            for i in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(i, TOGETHER)
+                texts = [t or "" for t in part.column(text_at).to_pylist()]
+                langs = [None] * len(texts) if lang_at is None else part.column(lang_at).to_pylist()
+                kept = [x[_FIELDS.index("kept") - 1] for x in assess_all(texts, langs, fertility, used)]
+                yield part.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -12,6 +12,7 @@ those with the least hash of their id.  Scoring runs over every document.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -173,6 +174,28 @@ def train(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE, id_co
     return fit([values[a:b] for a, b in zip(at[:-1], at[1:])], rows["grade"].to_numpy().astype(np.int64), totals)
 
 
+class Scorer:
+    """Scores of texts; the weights of words are remembered."""
+
+    def __init__(self, model: Model) -> None:
+        self._model, self._weights = model, {}
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        known, weights, totals = self._weights, self._model.weights, []
+        for text in texts:
+            if len(known) > REMEMBERED:
+                known.clear()
+            found = []
+            for f in features(text):
+                w = known.get(f)
+                if w is None:
+                    w = known[f] = weights.get(bucket(f), 0.0)
+                if w:
+                    found.append(w)
+            totals.append(math.fsum(found))  # exact, so the order of a set does not show
+        return np.array(totals, np.float64)
+
+
 SCHEMA = "doc_id long, score double, expected_grade double, tails array<double>"
 
 
@@ -185,23 +208,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight_of: dict[bytes, float] = {}
+        scorer = Scorer(model)
         for batch in batches:
-            scores = []
-            for text in batch.column(1).to_pylist():
-                found = features(text)
-                if len(weight_of) > REMEMBERED:
-                    weight_of.clear()
-                total = 0.0
-                for f in found:
-                    w = weight_of.get(f)
-                    if w is None:
-                        w = weight_of[f] = model.weights.get(bucket(f), 0.0)
-                    total += w
-                scores.append(round(total, 9))
-            tails = model.tails(np.array(scores)) if len(scores) else np.zeros((0, 0))
+            scores = scorer.scores(batch.column(1).to_pylist())
+            tails = model.tails(scores)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(scores, pa.float64()), pa.array(tails.sum(1), pa.float64()),
+                [batch.column(0), pa.array(scores), pa.array(tails.sum(1)),
                  pa.array(list(tails), pa.list_(pa.float64()))],
                 names=["doc_id", "score", "expected_grade", "tails"])
 
@@ -217,3 +229,19 @@ def graded(labels: DataFrame) -> DataFrame:
 def selected(least_tail: float = 0.5) -> Column:
     """Whether P(highest grade) reaches ``least_tail``; true where nothing was learnt."""
     return F.coalesce(F.try_element_at("tails", F.lit(-1)) >= least_tail, F.lit(True))
+
+
+def keep_selected(docs: DataFrame, model: Model, least_tail: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose P(highest grade) reaches ``least_tail``.
+
+    Nulls, empty texts, ties, repeated rows and empty tables as in :func:`score`.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model)
+        for batch in batches:
+            tails = model.tails(scorer.scores([t or "" for t in batch.column(at).to_pylist()]))
+            yield batch.filter(pa.array(tails[:, -1] >= least_tail)) if tails.shape[1] else batch
+
+    return docs.mapInArrow(run, docs.schema)

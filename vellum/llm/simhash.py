@@ -113,5 +113,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: of each component the document
+    with the least id stays, once if its row is repeated.  Rows without an id all stay, since no
+    id names them."""
+    found = near_duplicates(docs, words, id_col, text_col)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    named = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def hex_digits(fp) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
