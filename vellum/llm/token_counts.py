@@ -4,7 +4,7 @@ One pass splits every whole text into pre-tokens.  Documents are gathered in blo
 ``BLOCK_CHARS`` characters; a block keeps, per document, the slots and frequencies of its
 pre-tokens, and its distinct pre-tokens become rows (pre-token, block, slot).  Those rows are
 dealt out by pre-token and sorted, each distinct one is encoded once, and its number of pieces
-goes back to the slots of the blocks that hold it.  The sum of frequency times pieces is the
+goes back to the slots of the blocks that hold it, a batch's worth for a block in one row.  The sum of frequency times pieces is the
 count; no id sequence of a document is ever made.  What is shuffled is one row per block and
 distinct pre-token, so a word that every document has costs one row per block.
 """
@@ -12,6 +12,7 @@ distinct pre-token, so a word that every document has costs one row per block.
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -64,23 +65,37 @@ def term_blocks(path: str, block_chars: int):
                 body["freqs"].append(np.array(list(counts.values()), np.uint32))
                 chars += len(text)
                 if chars >= block_chars:
-                    yield from _emit(block + n, slots, _packed(body))
+                    yield from _emit(block + n, slots, _packed(body) | {"distinct": len(slots)})
                     slots, body, chars = fresh()
                     n += 1
         if body["docs"]:
-            yield from _emit(block + n, slots, _packed(body))
+            yield from _emit(block + n, slots, _packed(body) | {"distinct": len(slots)})
 
     return run
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers compressed byte plane by byte plane, which suits small ones."""
+    wide = np.ascontiguousarray(numbers, "<u4")
+    return zlib.compress(wide.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def numbers(packed: bytes) -> np.ndarray:
+    flat = np.frombuffer(zlib.decompress(packed), np.uint8)
+    return np.ascontiguousarray(flat.reshape(4, -1).T).view("<u4").ravel()
+
+
 def _packed(body: dict) -> dict:
-    """One array per field; frequencies in the smallest type that holds them."""
-    freqs = np.concatenate(body["freqs"])
-    small = np.min_scalar_type(int(freqs.max(initial=0)))
-    return body | {"slots": np.concatenate(body["slots"]), "freqs": freqs.astype(small)}
+    """Slots of every document as gaps in ascending order, and the frequencies in that order."""
+    order = [np.argsort(s) for s in body["slots"]]
+    gaps = [np.diff(s[o], prepend=np.uint32(0)) for s, o in zip(body["slots"], order)]
+    freqs = [f[o] for f, o in zip(body["freqs"], order)]
+    return body | {"slots": planes(np.concatenate(gaps)), "freqs": planes(np.concatenate(freqs))}
 
 
 def _pieces_of(path: str):
+    """Mapper from sorted (block, slot, term) to the pieces of a batch's slots, one row per block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last, n = pre_tokenizer(path).encode, None, 0
         for batch in batches:
@@ -89,21 +104,33 @@ def _pieces_of(path: str):
                 if term != last:  # sorted: every distinct pre-token comes once
                     last, n = term, len(encode(term))
                 pieces.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pieces, pa.int32())],
-                                             names=["block", "slot", "pieces"])
+            blocks, slots = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            order = np.lexsort((slots, blocks))
+            blocks, slots, pieces = blocks[order], slots[order], np.array(pieces)[order]
+            found, first = np.unique(blocks, return_index=True)
+            yield pa.RecordBatch.from_pylist(
+                [{"block": int(block), "slots": planes(np.diff(s, prepend=0)), "pieces": planes(n)}
+                 for block, s, n in zip(found, np.split(slots, first[1:]), np.split(pieces, first[1:]))],
+                _PIECES)
 
     return run
 
 
+_PIECES = pa.schema([("block", pa.int64()), ("slots", pa.binary()), ("pieces", pa.binary())])
+
+
 def _summed(bodies: pa.Table, counted: pa.Table) -> pa.Table:
-    weights = np.zeros(counted.num_rows, np.int64)
-    weights[counted["slot"].to_numpy()] = counted["pieces"].to_numpy()
     body = pickle.loads(bodies["body"][0].as_py())
-    ends = np.cumsum(body["ends"], dtype=np.int64)
-    running = np.concatenate([[0], np.cumsum(weights[body["slots"]] * body["freqs"])])
-    totals = running[ends] - running[ends - np.asarray(body["ends"], np.int64)]
+    weights = np.zeros(body["distinct"], np.int64)
+    for slots, pieces in zip(counted["slots"].to_pylist(), counted["pieces"].to_pylist()):
+        weights[np.cumsum(numbers(slots))] = numbers(pieces)
+    lengths = np.asarray(body["ends"], np.int64)
+    ends = np.cumsum(lengths)
+    gaps = np.cumsum(numbers(body["slots"]), dtype=np.int64)  # over all documents: take off what came before
+    before = np.concatenate([[0], gaps])[ends - lengths]
+    running = np.concatenate([[0], np.cumsum(weights[gaps - np.repeat(before, lengths)] * numbers(body["freqs"]))])
     return pa.table({"doc_id": pa.array(body["docs"], pa.int64()), "n_bytes": pa.array(body["bytes"], pa.int64()),
-                     "n_tokens": pa.array(totals, pa.int64())})
+                     "n_tokens": pa.array(running[ends] - running[ends - lengths], pa.int64())})
 
 
 def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col: str = "doc_id",
@@ -122,7 +149,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", id_col:
     blocks = docs.sparkSession.read.schema(pairs.schema).parquet(at)
     counted = (blocks.where("kind = 'term'").select("block", "slot", "term")
                .repartition("term").sortWithinPartitions("term")
-               .mapInArrow(_pieces_of(path), "block long, slot int, pieces int"))
+               .mapInArrow(_pieces_of(path), "block long, slots binary, pieces binary"))
     return (blocks.where("kind = 'body'").select("block", "body").groupBy("block")
             .cogroup(counted.groupBy("block"))
             .applyInArrow(_summed, "doc_id long, n_bytes long, n_tokens long"))
