@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import fertility, main_text, ordinal, packing, simhash, token_counts, warc
+from vellum.llm import fertility, main_text, mixing_lm, ordinal, packing, simhash, token_counts, warc
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = ordinal.train(docs, ordinal.graded(table(spark, sf_dir, "labels")))
     return ordinal.score(docs, model).withColumn("kept", ordinal.selected())
+
+
+@query
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and mixed-model score of every document."""
+    return mixing_lm.score_documents(table(spark, sf_dir, "documents"))
