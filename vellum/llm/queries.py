@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import fertility, main_text, mixing_lm, ordinal, packing, simhash, threshold_topk, token_counts, warc
+from vellum.llm import (fertility, main_text, mixing_lm, ordinal, packing, simhash, suffix_pieces, threshold_topk,
+                        token_counts, warc)
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,3 +105,9 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id,
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+
+@query
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document, and the text they decode to."""
+    return suffix_pieces.decode_documents(suffix_pieces.encode_documents(table(spark, sf_dir, "documents")))
