@@ -39,7 +39,7 @@ def integers(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> Da
     """(vec_id, vector) of the vectors that take part, components as floor(scale * x)."""
     vector = F.col(vector_col).cast("array<double>")
     sound = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return (vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & sound)
+    return (vectors.where(F.col(id_col).isNotNull() & (F.size(vector) > 0) & sound)
             .select(F.col(id_col).cast("long").alias("vec_id"),
                     F.transform(vector, lambda x: F.floor(x * scale)).alias("vector")))
 
@@ -147,7 +147,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
 
     Components count as floor(scale * x).  Queries are the rows where ``is_query`` holds, candidates
     all rows of another id; ties go to the smaller id.  Rows whose id is null, and vectors that are
-    null or hold a null or non-finite component, take no part; vectors meet only vectors of their
+    null or empty or hold a null or non-finite component, take no part; vectors meet only vectors of their
     own length.  Ids are taken to be unique: a repeated query row repeats its answer once, a repeated
     candidate counts as often as it occurs.  Fewer than k candidates give fewer rows, an empty table
     none; other columns are ignored.  Scores must fit a long.
