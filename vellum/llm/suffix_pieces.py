@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from vellum.llm.shared import keyed_text, vocabulary_path
 
 #: Characters of texts that are matched together (a longer text is matched alone).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 3_000_000
+#: Pieces whose occurrences are laid out together.
+PIECES_TOGETHER = 2048
 MARK = "▁"
 #: Stands between cuts; above every character.
 _BORDER = 0x110000
@@ -85,7 +87,7 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
         rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
         key = rank * (n + 1) + rank[np.minimum(np.arange(width, n + width), n - 1)]
         width *= 2
-    return np.argsort(key)
+    return np.argsort(key).astype(np.int32)
 
 
 def occurrences(text: np.ndarray, suffixes: np.ndarray, points: np.ndarray, lengths: np.ndarray
@@ -122,10 +124,12 @@ def edge_table(text: np.ndarray, pieces: Pieces) -> np.ndarray:
     if len(points):
         suffixes = suffix_array(text, pieces.depth)
         low, high = occurrences(text, suffixes, points, lengths)
-        often = high - low
-        at = suffixes[np.repeat(low - np.cumsum(often) + often, often) + np.arange(often.sum())]
-        # sorting the edges by position, as a distribution into one cell for each (position, length)
-        table[at, np.repeat(lengths, often)] = np.repeat(ids, often)
+        for i in range(0, len(points), PIECES_TOGETHER):
+            part = slice(i, i + PIECES_TOGETHER)
+            often = high[part] - low[part]
+            at = suffixes[np.repeat(low[part] - np.cumsum(often) + often, often) + np.arange(often.sum())]
+            # edges sorted by position: a distribution into one cell for each (position, length)
+            table[at, np.repeat(lengths[part], often)] = np.repeat(ids[part], often)
     return table
 
 
@@ -246,7 +250,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for batch in batches:
-            texts = [decode(i or [], pieces) for i in batch.column(1).to_pylist()]
+            texts = [decode(i.as_py() or [], pieces) for i in batch.column(1)]  # one row's ids at a time
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              names=["doc_id", "ids", "n_tokens", "decoded"])
 
