@@ -83,7 +83,7 @@ def _(spark, sf):
 
 
 @query("hits_without_repeats", "RK-21 SE-2", PACKSRC + """, u AS (SELECT query_id, chunk_id % 50 AS chunk_id, doc_id, position FROM ph)
-SELECT query_id, chunk_id, doc_id, min(position)::BIGINT AS position FROM u GROUP BY 1,2,3""")
+SELECT query_id, chunk_id, arg_min(doc_id, position) AS doc_id, min(position)::BIGINT AS position FROM u GROUP BY 1,2""")
 def _(spark, sf):
     h = pack_hits(spark, sf).select("query_id", (F.col("chunk_id") % 50).alias("chunk_id"), "doc_id", "position")
     return Cx.drop_repeated(h.withColumn("text", F.lit(""))).select(

@@ -355,10 +355,11 @@ _UP = "upper(t)=t AND regexp_matches(t,'[A-Z]')"
 @query("query_kinds", "FN-21", f"""WITH {ASKED_SQL}, k AS (SELECT qid, query, {_LT} AS lt, {_TK} AS tk FROM asked),
  f AS (SELECT *, lt[1] AS op, regexp_matches(query,'\\b(?:19|20)\\d{{2}}\\b') AS yr, len(list_filter(tk, lambda t: {_UP}))>0 AS ent,
   len(list_filter(tk[2:], lambda t: regexp_matches(t,'^[A-Z]') AND NOT ({_UP})))>0 AS pn, {_h(vocab.RECENCY_TERMS)} AS rec, {_h(vocab.NEWS_TERMS)} AS news,
-  {_h(vocab.RELEASE_VERBS)} AS rel, {_h(vocab.STRONG_RECENCY_TERMS)} AS srec, {_h(vocab.BIOGRAPHICAL_TERMS)} AS bio FROM k)
+  {_h(vocab.RELEASE_VERBS)} AS rel, {_h(vocab.STRONG_RECENCY_TERMS)} AS srec, {_h(vocab.BIOGRAPHICAL_TERMS)} AS bio,
+  {_h(vocab.WEB_RECENCY_TERMS)} AS wrec, {_h(vocab.WEB_NEWS_TERMS)} AS wnews FROM k)
 SELECT qid, {_h(vocab.METADATA_TERMS)} AS is_metadata, regexp_matches(query,'[0-9]') OR ({_h(vocab.NUMERIC_TERMS)} AND {_h(vocab.NUMERIC_TRIGGERS)}) AS is_numeric,
  CASE WHEN op IN {V.in_sql(vocab.FACT_OPENERS)} THEN yr OR ent OR pn OR rec WHEN op='what' THEN srec OR news OR (pn AND rel) WHEN op IN {V.in_sql(vocab.INFORMATIONAL_OPENERS)} THEN rec OR news ELSE news END AS external_fact,
- CASE WHEN op IN {V.in_sql(vocab.FACT_OPENERS)} THEN yr OR ent OR pn OR rec OR bio WHEN op='what' THEN rec OR news OR bio OR yr OR (pn AND rel) WHEN op IN {V.in_sql(vocab.INFORMATIONAL_OPENERS)} THEN rec OR news ELSE news END AS external_fact_web,
+ CASE WHEN op IN {V.in_sql(vocab.FACT_OPENERS)} THEN yr OR ent OR pn OR wrec OR bio WHEN op='what' THEN wrec OR wnews OR bio OR yr OR (pn AND rel) WHEN op IN {V.in_sql(vocab.INFORMATIONAL_OPENERS)} THEN wrec OR wnews ELSE wnews END AS external_fact_web,
  op IN {V.in_sql(vocab.COVERAGE_FACT_OPENERS)} AND (yr OR list_contains(lt,'current') OR len(list_filter(tk[2:], lambda t: ({_UP}) OR (regexp_matches(t,'^[A-Z]') AND length(t)>=3 AND NOT list_contains({V.list_sql(vocab.ANSWER_STOPWORDS)},lower(t)))))>0) AS external_fact_coverage,
  regexp_matches(query,'(?i){"|".join(Q.OVERVIEW_PHRASES)}') AS overview_request, len(list_intersect(list_distinct(lt),{V.list_sql(vocab.OVERVIEW_TERMS)}))>=2 AS overview_terms,
  (op IN {V.in_sql(vocab.FACTOID_OPENERS)} AND len(lt)<=14) OR {_h(vocab.FACTOID_HINTS)} OR (len(lt)<=8 AND query LIKE '%?') AS factoid,

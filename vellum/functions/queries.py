@@ -90,9 +90,10 @@ def is_external_fact(q: Column) -> Column:
 
 
 def is_external_fact_for_web(q: Column) -> Column:
-    """Web fallback's looser notion: biographical terms count, and years count after 'what'."""
-    opener, news = _first(q), _has(q, vocab.NEWS_TERMS)
-    recency, bio = _has(q, vocab.RECENCY_TERMS), _has(q, vocab.BIOGRAPHICAL_TERMS)
+    """Web fallback's notion: its own shorter news and recency lists; biographical terms and, after
+    'what', years count."""
+    opener, news = _first(q), _has(q, vocab.WEB_NEWS_TERMS)
+    recency, bio = _has(q, vocab.WEB_RECENCY_TERMS), _has(q, vocab.BIOGRAPHICAL_TERMS)
     year = T.strip(q).rlike(vocab.YEAR)
     entity = F.exists(_tokens(q), lambda t: _upper(t))
     fact = year | entity | _proper_noun(q) | recency | bio

@@ -33,6 +33,9 @@ NEWS_TERMS = ("news politics political election elections happening championship
               "standings").split()
 RECENCY_TERMS = "today yesterday tonight currently nowadays last latest recent now".split()
 STRONG_RECENCY_TERMS = "today yesterday tonight currently nowadays now".split()
+# The web fallback's own, narrower lists (fixed values).
+WEB_NEWS_TERMS = ("news", "politics", "political", "election", "elections", "happening")
+WEB_RECENCY_TERMS = ("today", "yesterday", "tonight", "currently", "nowadays")
 RELEASE_VERBS = "released release launched launch unveiled unveil announced announce".split()
 
 ANSWER_STOPWORDS = ("the a an of and for to in on at by with is are was were be does do what who "

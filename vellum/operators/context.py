@@ -12,16 +12,13 @@ NEAR_DUP = 0.90
 MAX_GAP = 0.06
 AUTHORITY_WEIGHT = 0.20
 PREFERRED_BONUS = 0.02
-SIGNATURE = ("chunk_id", "doc_id", "collection_id", "source_name", "document_title", "document_path",
-             "page_number", "section_header")
 
 
 def drop_repeated(hits: DataFrame) -> DataFrame:
-    """First hit per (query, provenance); the order is the incoming ``position``."""
-    keys = [c for c in SIGNATURE if c in hits.columns]
-    rest = [c for c in hits.columns if c not in ("query_id", *keys)]
-    first = hits.groupBy("query_id", *keys).agg(F.min_by(F.struct(*rest), "position").alias("_r"))
-    return first.select("query_id", *keys, "_r.*")
+    """First hit per (query, chunk), whatever its provenance; the order is the incoming ``position``."""
+    rest = [c for c in hits.columns if c not in ("query_id", "chunk_id")]
+    first = hits.groupBy("query_id", "chunk_id").agg(F.min_by(F.struct(*rest), "position").alias("_r"))
+    return first.select("query_id", "chunk_id", "_r.*")
 
 
 def drop_near_duplicates(hits: DataFrame, threshold: float = NEAR_DUP) -> DataFrame:

@@ -95,7 +95,7 @@ def passage_around(text: Column, term: Column) -> Column:
 
     def cut(s: Column) -> Column:
         at = F.instr(F.lower(s), term)
-        lead = F.substring(s, F.lit(1), F.greatest(at - 81, F.lit(0)))
+        lead = F.substring(s, F.lit(1), F.greatest(at - 80, F.lit(0)))
         start = F.length(F.regexp_extract(lead, r"^(?s)(.*[ .!?])", 1))
         end = F.least(at - 1 + 300, F.length(s))
         tail = F.regexp_extract(F.substring(s, end + 1, F.length(s)), r"^(?s)([^.!?\n]*[.!?\n]?)", 1)
