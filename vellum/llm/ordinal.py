@@ -165,7 +165,8 @@ def train(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE, id_co
     order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
     sample = (known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_grade)
               .select("doc_id", "grade"))
-    rows = (keyed_text(docs, id_col, text_col).join(sample, "doc_id").select("doc_id", "text", "grade")
+    # the sample is bounded by its parameter, so it goes to the texts and no text is shuffled
+    rows = (keyed_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
             .mapInArrow(_bucket_rows, "doc_id long, grade int, row array<int>").toArrow())
     rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
     column = rows["row"].combine_chunks()
