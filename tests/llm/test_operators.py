@@ -98,6 +98,8 @@ def test_keep_one(spark, hard):
     assert kept.columns == [*hard.columns] and kept.where("doc_id IS NULL").count() == 2
     ids = sorted(r.doc_id for r in kept.where("doc_id IS NOT NULL").collect())
     assert len(ids) == len(set(ids)) and 0 in ids and 1 not in ids and 3 in ids
+    small = simhash.keep_one(hard, block_chars=1)  # every text in a block of its own
+    assert sorted(map(str, small.collect())) == sorted(map(str, kept.collect()))
 
 
 def test_token_counts_match_the_library(spark, documents):

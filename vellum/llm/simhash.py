@@ -18,6 +18,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,8 @@ WORDS = 3
 SEED = 42
 MAX_BITS = 2
 CROWD = 32
+#: Texts of so many characters travel as one compressed block where whole rows must move.
+BLOCK_CHARS = 8_000_000
 
 
 def fingerprint(text: str, words: int = WORDS) -> int:
@@ -104,23 +107,74 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     """
     folder = work_folder(docs.sparkSession)
     rows = as_table(fingerprints(docs, words, id_col, text_col), f"{folder}/fingerprints")
+    return _with_component(rows, folder).select("doc_id", "fp", "component_id")
+
+
+def _with_component(rows: DataFrame, folder: str) -> DataFrame:
+    """``rows`` (doc_id, fp, ...) with the least id reachable from each fingerprint."""
     prints = as_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/distinct")
     roots = components(close_pairs(prints, folder))
     tied = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = tied.groupBy("root").agg(F.min("first").alias("least"))
     moved = tied.join(least, "root").select("fp", "least")
     named = prints.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return rows.join(named, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(named, "fp")
+
+
+def _row_blocks(text_at: int, words: int, block_chars: int):
+    """Mapper from (doc_id, row) to blocks of rows: their ids and fingerprints, and the rows themselves
+    as a compressed Arrow stream."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).field(text_at).to_pylist()]
+            of_block = np.cumsum([0, *map(len, texts)])[:-1] // block_chars
+            cuts = [0, *(np.flatnonzero(np.diff(of_block)) + 1).tolist(), len(texts)]
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                prints = np.array([fingerprint(t, words) for t in texts[a:b]], np.uint64).view(np.int64)
+                part, sink = pa.RecordBatch.from_struct_array(batch.column(1).slice(a, b - a)), pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block]), pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
+                     pa.array([prints], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()])],
+                    names=["block", "ids", "prints", "body"])
+                block += 1
+
+    return run
+
+
+def _chosen_rows(blocks: pa.Table, places: pa.Table) -> pa.Table:
+    """The rows of one block at the given places."""
+    if not blocks.num_rows:
+        raise ValueError("a place without its block")
+    rows = pa.ipc.open_stream(blocks["body"][0].as_buffer()).read_all()
+    return rows.take(pa.array(np.sort(places["place"].to_numpy())))
 
 
-def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text",
+             block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: of each component the document
     with the least id stays, once if its row is repeated.  Rows without an id all stay, since no
-    id names them."""
-    found = near_duplicates(docs, words, id_col, text_col)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    named = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    id names them.
+
+    Rows are written once in compressed blocks; all decisions are taken on ids, fingerprints and
+    places, and the blocks meet the places that stay, so no text is shuffled or sorted unpacked.
+    """
+    folder = work_folder(docs.sparkSession)
+    whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
+    blocks = as_table(whole.mapInArrow(_row_blocks(docs.columns.index(text_col), words, block_chars),
+                                       "block long, ids array<long>, prints array<long>, body binary"),
+                      f"{folder}/blocks", "none")
+    rows = as_table(blocks.select("block", F.posexplode(F.arrays_zip("ids", "prints")).alias("place", "row"))
+                    .select(F.col("row.ids").alias("doc_id"), F.col("row.prints").alias("fp"), "block", "place"),
+                    f"{folder}/fingerprints")
+    first = (_with_component(rows, folder).where("doc_id = component_id")
+             .groupBy("doc_id").agg(F.min(F.struct("block", "place")).alias("at")).select("at.block", "at.place"))
+    places = first.union(rows.where("doc_id IS NULL").select("block", "place"))
+    return (blocks.select("block", "body").groupBy("block").cogroup(places.groupBy("block"))
+            .applyInArrow(_chosen_rows, docs.schema))
 
 
 def hex_digits(fp) -> Column:
