@@ -160,10 +160,22 @@ def _bucket_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def train(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE, id_col: str = "doc_id",
           text_col: str = "text") -> Model:
-    """Fit on ``ratings`` (doc_id, grade: 0, 1, ...); null ids or grades take no part."""
-    known = ratings.where("doc_id IS NOT NULL AND grade >= 0").select("doc_id", F.col("grade").cast("int"))
-    order = Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = (known.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_grade)
+    """Fit on ``ratings`` (doc_id, grade: 0, 1, ...); null ids or grades take no part
+    and repeated ratings count once."""
+    known = (ratings.where("doc_id IS NOT NULL AND grade >= 0").select("doc_id", F.col("grade").cast("int")).distinct()
+             .withColumn("hash", F.xxhash64("doc_id")))
+    # the least hashes of a grade lie in its first slots of the hash range: only rows of those meet in a window
+    slot = F.shiftright("hash", 52)
+    totals, cuts = {}, {}
+    for grade, at, n in sorted(map(tuple, known.groupBy("grade", slot.alias("slot")).count().collect())):
+        if totals.get(grade, 0) < per_grade:
+            cuts[grade] = at
+        totals[grade] = totals.get(grade, 0) + n
+    within = F.lit(False)
+    for grade, at in cuts.items():
+        within |= (F.col("grade") == grade) & (slot <= at)
+    order = Window.partitionBy("grade").orderBy("hash", "doc_id")
+    sample = (known.where(within).withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_grade)
               .select("doc_id", "grade"))
     # the sample is bounded by its parameter, so it goes to the texts and no text is shuffled
     rows = (keyed_text(docs, id_col, text_col).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "grade")
@@ -171,7 +183,6 @@ def train(docs: DataFrame, ratings: DataFrame, per_grade: int = PER_GRADE, id_co
     rows = rows.sort_by([("doc_id", "ascending"), ("grade", "ascending")])
     column = rows["row"].combine_chunks()
     values, at = column.flatten().to_numpy(), np.cumsum([0, *(len(r) for r in column)])
-    totals = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     return fit([values[a:b] for a, b in zip(at[:-1], at[1:])], rows["grade"].to_numpy().astype(np.int64), totals)
 
 
