@@ -83,10 +83,9 @@ def test_stream_numbers_and_cache(spark, tmp_path):
     spark.createDataFrame([(1, i, f"2024-01-01 00:00:{i:02d}") for i in range(9)], "run_id bigint, event_id bigint, t string").select(
         "run_id", "event_id", F.to_timestamp("t").alias("ts")).coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema("run_id bigint, event_id bigint, ts timestamp").parquet(str(src))
-    q = logs.number_events(stream).writeStream.format("parquet").option("path", str(tmp_path / "o")).option(
-        "checkpointLocation", str(tmp_path / "k")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.event_id, r.seq) for r in spark.read.parquet(str(tmp_path / "o")).collect()) == [(i, i + 1) for i in range(9)]
+    number = logs.number_batches(str(tmp_path / "o"))
+    logs.ingest_batches(stream, number, str(tmp_path / "k")).trigger(availableNow=True).start().awaitTermination()
+    assert sorted((r.event_id, r.seq) for r in spark.read.parquet(str(tmp_path / "o/data")).collect()) == [(i, i + 1) for i in range(9)]
     seen = []
     writes = stream.withWatermark("ts", "1 hour").select(F.lit("k").alias("key"), F.col("event_id").cast("string").alias("value"), "ts")
     q = logs.cache_with_ttl(writes).writeStream.outputMode("update").foreachBatch(lambda b, i: seen.extend(b.collect())).option(
@@ -95,6 +94,18 @@ def test_stream_numbers_and_cache(spark, tmp_path):
     assert [r.value for r in seen] == ["8"]
 
 
+def test_stream_numbers_of_a_long_run(spark, tmp_path):
+    """More events than an Arrow batch holds, stored backwards, in two triggers; a replay changes nothing."""
+    rows = spark.range(19_999, -1, -1, 1).select(F.lit(1).cast("bigint").alias("run_id"), F.col("id").alias("event_id"),
+                                                 F.timestamp_seconds(F.col("id") + 1_700_000_000).alias("ts"))
+    number = logs.number_batches(str(tmp_path))
+    number(rows.where("event_id < 12000"), 0)
+    for _ in range(2):
+        number(rows.where("event_id >= 12000"), 1)
+    got = spark.read.parquet(f"{tmp_path}/data")
+    assert got.count() == 20_000 and got.where("seq <> event_id + 1").count() == 0
+
+
 def test_ingest_skips_unchanged(spark, tmp_path):
     docs = spark.createDataFrame([("d1", "# One\n\nalpha beta gamma delta epsilon"), ("d2", "no heading here but words enough")], "doc_id string, text string")
     first = ingest.run(docs, None, str(tmp_path / "a"))

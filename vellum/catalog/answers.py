@@ -253,7 +253,9 @@ def _(spark, sf):
     return G.section_summary(asks(spark, sf), hits(spark, sf)).select("query_id", "chunk_id", "sentence", "score", "position")
 
 
-@query("factoid_sentences", "RK-35e", HITS_SQL + f""", kw AS (SELECT query_id, list_filter(list_distinct({TOK('lower(query)')}), lambda t: length(t)>2 AND NOT list_contains({KWSTOP},t)) AS kw, regexp_matches(query,'\\d') AS digits FROM ask),
+@query("factoid_sentences", "RK-35e", HITS_SQL + f""", k0 AS (SELECT query_id, query, list_filter(list_distinct({TOK('lower(query)')}), lambda t: length(t)>2 AND NOT list_contains({KWSTOP},t)) AS k FROM ask),
+ k1 AS (SELECT *, list_filter(k, lambda t: t NOT IN ('meaning','explain','describe','overview','summary','detail','details')) AS s FROM k0),
+ kw AS (SELECT query_id, CASE WHEN len(s)>0 THEN s ELSE k END AS kw, regexp_matches(query,'\\d') AS digits FROM k1),
  {hit_sent_sql(30, 320)}, so AS (SELECT *, len(list_filter(kw, lambda t: contains(lower(sentence),t))) AS o FROM hs JOIN kw USING (query_id)),
  sc AS (SELECT *, round((o + CASE WHEN digits AND regexp_matches(sentence,'\\d') THEN 1 ELSE 0 END + CASE WHEN {' OR '.join(f"contains(lower(sentence),'{w}')" for w in G.PUBLICATION_WORDS)} THEN 1 ELSE 0 END)::DOUBLE,6) AS score FROM so WHERE len(kw)=0 OR o>0)""" + BEST_SQL)
 def _(spark, sf):

@@ -68,7 +68,6 @@ def dressed(spark, sf):
     t = F.col("text")
     for p, r in DRESS:
         t = F.regexp_replace(t, p, r)
-    t = F.when(F.col("doc_id") % 4 == 0, F.regexp_extract(t, r"^[^.]*", 0)).otherwise(t)
     return table(spark, sf, "documents").select("doc_id", "source", t.alias("text"))
 
 
@@ -76,7 +75,7 @@ def _dress_sql() -> str:
     e = "text"
     for p, r in DRESS:
         e = f"regexp_replace({e},'{p}','{r}')"
-    return f"dr AS (SELECT doc_id, source, CASE WHEN doc_id % 4 = 0 THEN regexp_extract({e},'^[^.]*') ELSE {e} END AS text FROM documents)"
+    return f"dr AS (SELECT doc_id, source, {e} AS text FROM documents)"
 
 
 @query("evidence_classes", "FN-29 FN-30", f"WITH {_dress_sql()}, c AS (SELECT doc_id, {wrappers_sql('text')} AS clean FROM dr) SELECT doc_id, {class_sql('clean')} AS evidence_class, {admin_sql('clean')} AS administrative, md5(lower(clean)) AS norm FROM c")
@@ -216,11 +215,11 @@ def _(spark, sf):
 
 LINES_SQL = POOL_SQL + f""", li AS (SELECT branch_ord, pool_rank, branch_name, chunk_id, lower(CASE WHEN chunk_id % 3 = 0 THEN branch_name ELSE upper(branch_name) END) AS k,
   '[chunk:'||chunk_id||'] ['||CASE WHEN chunk_id % 3 = 0 THEN branch_name ELSE upper(branch_name) END||'] [source:unknown] '||tx||' (p.'||(chunk_id % 9 + 1)||', '||source||')' AS line,
-  tx FROM (SELECT *, array_to_string(regexp_extract_all(clean,'{V.NON_SPACE_SQL}+')[1:2],' ') AS tx FROM pool))"""
+  tx FROM (SELECT *, array_to_string(regexp_extract_all(clean,'{V.NON_SPACE_SQL}+'),' ') AS tx FROM pool))"""
 
 
 def lines(spark, sf):
-    p = pool(spark, sf).withColumn("text", F.array_join(F.slice(T.space_tokens(E.strip_wrappers(F.col("text"))), 1, 2), " "))
+    p = pool(spark, sf).withColumn("text", F.array_join(T.space_tokens(E.strip_wrappers(F.col("text"))), " "))
     p = p.withColumns({"branch_name": F.when(F.col("chunk_id") % 3 == 0, F.col("branch_name")).otherwise(F.upper("branch_name")),
                        "source_kind": F.lit("unknown"), "page_start": F.col("chunk_id") % 9 + 1, "item_ord": F.col("pool_rank")})
     return X.evidence_lines(p)

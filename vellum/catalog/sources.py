@@ -67,7 +67,9 @@ def _drain(spark, stream, mode: str = "append"):
 @query("streamed_event_numbers", "ST-1 ST-2", "SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq FROM events")
 def _(spark, sf):
     e = _events(spark, sf).select(F.col("user_id").alias("run_id"), "event_id", "ts")
-    return _drain(spark, logs.number_events(e))
+    out = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4()}"
+    logs.ingest_batches(e, logs.number_batches(out), f"{out}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("run_id", "event_id", "seq")
 
 
 @query("streamed_topic_counts", "ST-4 ST-6", f"""WITH w AS (SELECT doc_id, unnest(list_distinct({Mf.TT.format('text')})) AS topic FROM documents)

@@ -119,12 +119,16 @@ def section_summary(queries: DataFrame, hits: DataFrame, k: int = 2) -> DataFram
     return best_sentences(s.withColumn("score", F.round(score, 6)).where("score > 0"), k)
 
 
+#: Words of a request that do not name its subject.
+FACTOID_IGNORE = ("meaning", "explain", "describe", "overview", "summary", "detail", "details")
 PUBLICATION_WORDS = ("isbn", "first published", "copyright", "publisher")
 
 
 def factoid_sentences(queries: DataFrame, hits: DataFrame, k: int = 2) -> DataFrame:
     """Sentences of 30..320 characters scored by term overlap, digits and publication words."""
-    q = queries.select("query_id", keywords(F.col("query")).alias("kw"), F.col("query").rlike(r"\d").alias("digits"))
+    q = F.col("query")
+    kw = T.let(keywords(q, FACTOID_IGNORE), lambda k: F.when(F.size(k) > 0, k).otherwise(keywords(q)))
+    q = queries.select("query_id", kw.alias("kw"), q.rlike(r"\d").alias("digits"))
     s = hit_sentences(hits, 30, 320).join(q, "query_id")
     low = F.lower("sentence")
     overlap = T.let(low, lambda x: F.size(F.filter("kw", lambda t: F.contains(x, t))))

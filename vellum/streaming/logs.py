@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from vellum import schemas
-from vellum.operators import manifest
+from vellum.operators import manifest, prefix
 
 TERMINAL = ("done", "error", "cancelled")
 
@@ -26,23 +26,30 @@ def run_status(events: DataFrame) -> DataFrame:
                                         F.max(F.col("type").isin(*TERMINAL).cast("int")).alias("finished"))
 
 
-def number_events(events: DataFrame) -> DataFrame:
-    """Give every event the next sequence of its run; the counter lives in state.
+def number_batches(path: str):
+    """A ``foreachBatch`` sink that gives every event (run_id, event_id, ts) the next sequence of its run.
 
-    A run's counter is one number and rows pass through in Arrow batches, so a busy
-    run costs no memory; batches of one trigger are numbered in (ts, event_id) order.
+    Events of one trigger are numbered in (ts, event_id) order, hour by hour, so a busy run is
+    neither sorted nor held in one task; the last number of each run so far lies in ``path``/last.
+    A replayed batch overwrites its own folders and starts from its predecessor's, so numbers
+    stay the same.
     """
-    def assign(key: tuple[Any], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values(["ts", "event_id"], kind="stable")
-            yield pd.DataFrame({"run_id": pdf["run_id"], "event_id": pdf["event_id"],
-                                "seq": range(last + 1, last + 1 + len(pdf))})
-            last += len(pdf)
-        state.update((last,))
-
-    return events.groupBy("run_id").applyInPandasWithState(
-        assign, "run_id bigint, event_id bigint, seq bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    def number(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = prefix.row_numbers(batch.select("run_id", "event_id", "ts"), ["run_id"], [F.col("ts"), F.col("event_id")],
+                                  F.date_trunc("hour", "ts"), "seq")
+        before = spark.createDataFrame([], rows.select("run_id", "seq").schema)
+        if batch_id:
+            before = spark.read.schema(before.schema).parquet(f"{path}/last/batch={batch_id - 1}")
+        known = before.select(F.col("run_id").alias("_run"), F.col("seq").alias("_last"))
+        numbered = rows.join(known, F.col("run_id").eqNullSafe(F.col("_run")), "left").select(
+            "run_id", "event_id", (F.col("seq") + F.coalesce("_last", F.lit(0))).alias("seq"))
+        numbered.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+        written = spark.read.schema(numbered.schema).parquet(f"{path}/data/batch={batch_id}")
+        (before.unionByName(written.select("run_id", "seq")).groupBy("run_id").agg(F.max("seq").alias("seq"))
+         .write.mode("overwrite").parquet(f"{path}/last/batch={batch_id}"))
+
+    return number
 
 
 def cache_with_ttl(writes: DataFrame, ttl_ms: int = 24 * 3600 * 1000) -> DataFrame:
