@@ -9,11 +9,12 @@ from vellum.catalog.registry import query
 from vellum.functions import text as T
 from vellum.operators import library as L
 from vellum.operators.filters import RetrievalFilters, compile_filters
+from vellum.operators.questions import replace_questions
 
 W = V.LIBRARY_SQL
 
 
-@query("filtered_chunk_scan", "SC-1 JN-1 PR-1 PR-2 PR-3 PR-4 PR-5", W + """
+@query("filtered_chunk_scan", "SC-1 JN-1 PR-2 PR-3 PR-4 PR-5", W + """
 SELECT c.chunk_id, c.doc_id, c.structural_role, c.page_start::BIGINT AS page_start, d.filename
 FROM chunks c LEFT JOIN docs d USING (doc_id)
 WHERE c.path_text LIKE '%>_F%' AND (c.page_end IS NULL OR c.page_end >= 40)
@@ -29,7 +30,36 @@ def _(spark, sf):
         "filename")
 
 
-@query("collection_scope_scan", "PR-6 JN-8 SC-5", W + """, scope AS (
+@query("chunks_of_named_documents", "SC-5 PR-1", W + """
+SELECT chunk_id, doc_id FROM chunks WHERE doc_id IN ('d1','d4','d7','d10','d13')""")
+def _(spark, sf):
+    f = RetrievalFilters(doc_id="d2", doc_ids=("d1", "d4", "d7", "d10", "d13"))  # the list outranks the single id
+    return compile_filters(V.library_chunks(spark, sf), f).select("chunk_id", "doc_id")
+
+
+@query("document_by_key", "SC-2", W + """
+SELECT doc_id, filename, source_type, collection_id FROM docs WHERE doc_id = 'd7'""")
+def _(spark, sf):
+    return compile_filters(V.library_docs(spark, sf), RetrievalFilters(doc_id="d7")).select(
+        "doc_id", "filename", "source_type", "collection_id")
+
+
+@query("replaced_questions", "SC-20", """WITH inc AS (
+ SELECT conv_id AS chunk_id, max(text) AS t FROM conversations WHERE conv_id % 3 = 0 AND conv_id % 6 <> 0 GROUP BY 1)
+SELECT conv_id AS chunk_id, text AS question, turn::DOUBLE AS first FROM conversations WHERE conv_id NOT IN (SELECT chunk_id FROM inc)
+UNION ALL SELECT chunk_id, 'what is '||t, 1.0::DOUBLE FROM inc UNION ALL SELECT chunk_id, 'why '||t, 2.0::DOUBLE FROM inc""")
+def _(spark, sf):
+    c = V.table(spark, sf, "conversations")
+    stored = c.select(F.col("conv_id").alias("chunk_id"), F.col("text").alias("question"),
+                      F.array(F.col("turn").cast("double")).alias("embedding"))
+    new = c.where("conv_id % 3 = 0").groupBy(F.col("conv_id").alias("chunk_id")).agg(F.max("text").alias("t"))
+    asked = F.array(F.concat(F.lit("what is "), "t"), F.concat(F.lit("why "), "t"))
+    new = new.select("chunk_id", F.when(F.col("chunk_id") % 6 != 0, asked).alias("questions"),
+                     F.array(F.array(F.lit(1.0)), F.array(F.lit(2.0))).alias("embeddings"))
+    return replace_questions(stored, new).select("chunk_id", "question", F.col("embedding")[0].alias("first"))
+
+
+@query("collection_scope_scan", "PR-6 JN-8", W + """, scope AS (
 SELECT collection_id FROM collections WHERE collection_id='r1' OR parent_id='r1')
 SELECT collection_id, count(*)::BIGINT AS chunk_count, count(DISTINCT doc_id)::BIGINT AS doc_count
 FROM chunks WHERE collection_id IN (SELECT collection_id FROM scope) GROUP BY 1""")
@@ -162,7 +192,7 @@ def _(spark, sf):
     return L.sample_every_nth(d, 30, [F.col("doc_id")], F.floor(F.col("doc_id") / 4096))
 
 
-@query("upsert_documents", "SC-15 SC-2", W + """, inc AS (SELECT doc_id, filename||'.v2' AS filename, 'docx' AS source_type,
+@query("upsert_documents", "SC-15", W + """, inc AS (SELECT doc_id, filename||'.v2' AS filename, 'docx' AS source_type,
  CASE WHEN source_type='notes' THEN md5(doc_id) END AS file_hash FROM docs WHERE source_type IN ('notes','web'))
 SELECT d.doc_id, CASE WHEN i.doc_id IS NULL THEN d.filename ELSE i.filename END AS filename,
  CASE WHEN i.doc_id IS NULL THEN d.source_type ELSE i.source_type END AS source_type,
@@ -185,7 +215,7 @@ def _(spark, sf):
     return L.latest_by_key(e, ["doc_id", "artifact_type"], "version").drop("version")
 
 
-@query("replace_document_chunks", "SC-17 SC-20", W + """, inc AS (SELECT doc_id, chunk_id||'n' AS chunk_id FROM chunks
+@query("replace_document_chunks", "SC-17", W + """, inc AS (SELECT doc_id, chunk_id||'n' AS chunk_id FROM chunks
  WHERE source_type='notes' AND structural_role='body')
 SELECT doc_id, chunk_id FROM chunks WHERE doc_id NOT IN (SELECT doc_id FROM inc) UNION ALL SELECT doc_id, chunk_id FROM inc""")
 def _(spark, sf):

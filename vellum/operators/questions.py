@@ -34,9 +34,13 @@ def best_question_per_chunk(questions: DataFrame, queries: DataFrame, k: int) ->
 
 
 def replace_questions(stored: DataFrame, chunk_questions: DataFrame) -> DataFrame:
-    """Replace a chunk's questions with parallel arrays of questions and vectors."""
+    """Replace a chunk's questions with parallel arrays of questions and vectors.
+
+    A chunk that comes without questions or without vectors keeps what is stored.
+    """
+    given = chunk_questions.where((F.size("questions") > 0) & (F.size("embeddings") > 0))
     bad = F.size("questions") != F.size("embeddings")
-    checked = chunk_questions.withColumn("_ok", F.when(bad, F.raise_error(F.lit(
+    checked = given.withColumn("_ok", F.when(bad, F.raise_error(F.lit(
         "questions and embeddings differ in length"))).otherwise(F.lit(True))).where("_ok")
     new = checked.select("chunk_id", F.explode(F.arrays_zip("questions", "embeddings")).alias("z")).select(
         "chunk_id", F.col("z.questions").alias("question"), F.col("z.embeddings").alias("embedding"))
