@@ -107,13 +107,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id",
     """
     folder = work_folder(docs.sparkSession)
     rows = as_table(fingerprints(docs, words, id_col, text_col), f"{folder}/fingerprints")
-    return _with_component(rows, folder).select("doc_id", "fp", "component_id")
+    return with_component(rows, folder).select("doc_id", "fp", "component_id")
 
 
-def _with_component(rows: DataFrame, folder: str) -> DataFrame:
-    """``rows`` (doc_id, fp, ...) with the least id reachable from each fingerprint."""
+def with_component(rows: DataFrame, folder: str, links=close_pairs) -> DataFrame:
+    """``rows`` (doc_id, fp, ...) with the least id reachable from each fingerprint over ``links``."""
     prints = as_table(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), f"{folder}/distinct")
-    roots = components(close_pairs(prints, folder))
+    roots = components(links(prints, folder))
     tied = prints.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = tied.groupBy("root").agg(F.min("first").alias("least"))
     moved = tied.join(least, "root").select("fp", "least")
@@ -121,9 +121,9 @@ def _with_component(rows: DataFrame, folder: str) -> DataFrame:
     return rows.join(named, "fp")
 
 
-def _row_blocks(text_at: int, words: int, block_chars: int):
-    """Mapper from (doc_id, row) to blocks of rows: their ids and fingerprints, and the rows themselves
-    as a compressed Arrow stream."""
+def row_blocks(text_at: int, marks, of: pa.DataType, block_chars: int):
+    """Mapper from (doc_id, row) to blocks of rows: their ids and what ``marks`` says of their texts, and
+    the rows themselves as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = TaskContext.get().partitionId() << 32
@@ -132,13 +132,12 @@ def _row_blocks(text_at: int, words: int, block_chars: int):
             of_block = np.cumsum([0, *map(len, texts)])[:-1] // block_chars
             cuts = [0, *(np.flatnonzero(np.diff(of_block)) + 1).tolist(), len(texts)]
             for a, b in zip(cuts[:-1], cuts[1:]):
-                prints = np.array([fingerprint(t, words) for t in texts[a:b]], np.uint64).view(np.int64)
                 part, sink = pa.RecordBatch.from_struct_array(batch.column(1).slice(a, b - a)), pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
                     out.write_batch(part)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([block]), pa.array([batch.column(0).slice(a, b - a).to_pylist()], pa.list_(pa.int64())),
-                     pa.array([prints], pa.list_(pa.int64())), pa.array([sink.getvalue().to_pybytes()])],
+                     pa.array([marks(texts[a:b])], pa.list_(of)), pa.array([sink.getvalue().to_pybytes()])],
                     names=["block", "ids", "prints", "body"])
                 block += 1
 
@@ -164,17 +163,26 @@ def keep_one(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_c
     """
     folder = work_folder(docs.sparkSession)
     whole = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.struct("*").alias("row"))
-    blocks = as_table(whole.mapInArrow(_row_blocks(docs.columns.index(text_col), words, block_chars),
+
+    def prints(texts: list[str]) -> np.ndarray:
+        return np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64)
+
+    blocks = as_table(whole.mapInArrow(row_blocks(docs.columns.index(text_col), prints, pa.int64(), block_chars),
                                        "block long, ids array<long>, prints array<long>, body binary"),
                       f"{folder}/blocks", "none")
     rows = as_table(blocks.select("block", F.posexplode(F.arrays_zip("ids", "prints")).alias("place", "row"))
                     .select(F.col("row.ids").alias("doc_id"), F.col("row.prints").alias("fp"), "block", "place"),
                     f"{folder}/fingerprints")
-    first = (_with_component(rows, folder).where("doc_id = component_id")
+    return first_rows(blocks, rows, with_component(rows, folder), docs.schema)
+
+
+def first_rows(blocks: DataFrame, rows: DataFrame, named: DataFrame, schema) -> DataFrame:
+    """The rows in ``blocks`` that are the first of their component, and those without an id."""
+    first = (named.where("doc_id = component_id")
              .groupBy("doc_id").agg(F.min(F.struct("block", "place")).alias("at")).select("at.block", "at.place"))
     places = first.union(rows.where("doc_id IS NULL").select("block", "place"))
     return (blocks.select("block", "body").groupBy("block").cogroup(places.groupBy("block"))
-            .applyInArrow(_chosen_rows, docs.schema))
+            .applyInArrow(_chosen_rows, schema))
 
 
 def hex_digits(fp) -> Column:
