@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 
 #: Lines in a window; a run ends only at a gap of so many lines without weight.
 WINDOW = 3
+#: What parts the blocks of a text in the table of :func:`extract`.
+BETWEEN = "\n\n"
 #: Where a page marks no article, a run below this share of the heaviest run is left out.
 LIGHT_RUN = 0.2
 #: A line of which links are more than this share has no weight where no article is marked.
@@ -154,8 +156,8 @@ def runs_of(weights: np.ndarray, window: int = WINDOW) -> list[tuple[int, int]]:
     return runs
 
 
-def main_text(page: str | None) -> str:
-    """Main text of one page: its blocks in page order, one a line."""
+def main_blocks(page: str | None) -> list[str]:
+    """Blocks of the main text of one page, in page order."""
     lines, marked = lines_of(page or "")
     if marked and not any(inside and not beside for _, _, beside, inside in lines):
         marked = False  # an empty mark says nothing
@@ -165,13 +167,18 @@ def main_text(page: str | None) -> str:
     if not marked and runs:
         mass = [int(weights[a:b].sum()) for a, b in runs]
         runs = [r for r, m in zip(runs, mass) if m >= LIGHT_RUN * max(mass)]
-    return "\n".join(lines[i][0] for a, b in runs for i in range(a, b) if weights[i] > 0 or
-                     not lines[i][2] and (lines[i][3] or not marked))
+    return [lines[i][0] for a, b in runs for i in range(a, b) if weights[i] > 0 or
+            not lines[i][2] and (lines[i][3] or not marked)]
+
+
+def main_text(page: str | None, between: str = "\n") -> str:
+    """Main text of one page: its blocks joined by ``between``."""
+    return between.join(main_blocks(page))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h) for h in batch.column(2).to_pylist()]
+        texts = [main_text(h, BETWEEN) for h in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                          names=["page_id", "url", "text"])
 
@@ -179,7 +186,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
-    A null or empty page, and one without article text, has the empty text.  Null ids and urls
+    ``text`` holds the kept blocks with an empty line between them.  A null or empty page, and one without article text, has the empty text.  Null ids and urls
     stay null, repeated rows give repeated rows, an empty table an empty table; other columns are
     ignored.  Pages are read whole whatever their length; broken markup is read as far as it goes.
     """
