@@ -8,3 +8,11 @@ def test_blocks_are_parted_by_two_newlines(spark):
     df = spark.createDataFrame([(1, "u", page), (2, "u", "<p>x</p>")], "page_id long, url string, html string")
     got = {r.page_id: (r.text, r.n_chars) for r in main_text.extract(df).collect()}
     assert got == {1: ("Head\n\nOne\n\ntwo\n\nthree", 21), 2: ("x", 1)}
+
+
+def test_short_last_section_after_an_advert_stays():
+    advert = "<div class=ad><p>Buy</p><p>now</p><p>cheap</p><p>here</p></div>"
+    links = "<ul>" + "".join(f"<li><a href=x>link {i}</a></li>" for i in range(4)) + "</ul>"
+    for between in (advert, links):
+        page = f"<body><p>{'long first part ' * 60}</p>{between}<p>In short.</p></body>"
+        assert main_text.main_blocks(page) == [("long first part " * 60).strip(), "In short."]

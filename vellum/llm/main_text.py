@@ -7,7 +7,7 @@ text (menus, headers, footers, sidebars, notices, adverts, forms, comments: by e
 class or id).  Weights are summed over windows of ``WINDOW`` lines.  A run of lines surges where
 the sum first rises above nothing at a line of weight and dives where the window is empty again;
 the text is kept between the two.  Where a page marks its article, only the marked lines have
-weight, so short articles survive too; otherwise runs far lighter than the heaviest are left out.
+weight; otherwise every run is kept, however light beside the others.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 WINDOW = 3
 #: What parts the blocks of a text in the table of :func:`extract`.
 BETWEEN = "\n\n"
-#: Where a page marks no article, a run below this share of the heaviest run is left out.
-LIGHT_RUN = 0.2
 #: A line of which links are more than this share has no weight where no article is marked.
 LINK_SHARE = 0.5
 
@@ -164,9 +162,6 @@ def main_blocks(page: str | None) -> list[str]:
     weights = np.array([0 if beside or marked and not inside or not marked and links > LINK_SHARE * len(text)
                         else len(text) for text, links, beside, inside in lines], np.int64)
     runs = runs_of(weights)
-    if not marked and runs:
-        mass = [int(weights[a:b].sum()) for a, b in runs]
-        runs = [r for r, m in zip(runs, mass) if m >= LIGHT_RUN * max(mass)]
     return [lines[i][0] for a, b in runs for i in range(a, b) if weights[i] > 0 or
             not lines[i][2] and (lines[i][3] or not marked)]
 
