@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import (fertility, main_text, mixing_lm, ordinal, packing, simhash, suffix_pieces, threshold_topk,
-                        token_counts, warc)
+from vellum.llm import (fertility, filter_audit, main_text, mixing_lm, ordinal, packing, simhash, suffix_pieces,
+                        threshold_topk, token_counts, warc)
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,46 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document, and the text they decode to."""
     return suffix_pieces.decode_documents(suffix_pieces.encode_documents(table(spark, sf_dir, "documents")))
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep, remove and find gone already, in every order, for every language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SQL["op11_filter_audit"] = r"""
+WITH RECURSIVE d AS (
+  SELECT coalesce(lang, '') AS part, doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (
+  SELECT part, doc_id, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d,
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * e::INT AS mask, count(*) AS n,
+         count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o(filter_order) AS (SELECT '' UNION ALL
+  SELECT filter_order || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) t(x) WHERE position(x IN filter_order) = 0),
+s AS (
+  SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+         list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65)))::INT AS earlier
+  FROM o, range(1, 6) r(step) WHERE len(filter_order) = 5),
+c AS (
+  SELECT part, filter_order, step, bit,
+         sum(n) FILTER (mask & (coalesce(earlier, 0) | bit) = 0) AS kept,
+         sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(earlier, 0) = 0) AS removed,
+         sum(n) FILTER (mask & bit <> 0 AND mask & coalesce(earlier, 0) <> 0) AS redundant,
+         sum(n) FILTER (mask = bit) AS unique_fails,
+         sum(good) FILTER (mask & bit <> 0 AND mask & coalesce(earlier, 0) = 0) AS good_lost,
+         sum(toxic) FILTER (mask & bit <> 0 AND mask & coalesce(earlier, 0) = 0) AS toxic_lost
+  FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed,
+       coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+       coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+       coalesce(sum(removed) OVER (PARTITION BY part, bit), 0)::BIGINT AS shapley
+FROM c
+"""
