@@ -94,14 +94,15 @@ def interactions(members: DataFrame, fails: dict[str, DataFrame], folder: str) -
     for i, name in enumerate(names):
         one = fails[name].select("id", F.lit(1 << i).alias("bit"))
         failing = one if failing is None else failing.union(one)
-    failing = failing.repartition("id")
+    dealt = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not merged: each row becomes many
+    spread, failing = members.repartition(dealt, "id"), failing.repartition(dealt, "id")
     gone = failing.select(F.col("id").alias("gone"), F.col("bit").alias("by"))
     caught = (F.col("id") == F.col("gone")) & (F.col("prefix").bitwiseAND(F.col("by")) != 0)
     sets = F.array(*(F.lit(s) for s in range(everything + 1)))
 
-    kept = (members.repartition("id").select("id", "part", F.explode(sets).alias("prefix"))
+    kept = (spread.select("id", "part", F.explode(sets).alias("prefix"))
             .join(gone, caught, "left_anti").groupBy("part", "prefix").agg(F.count("*").alias("kept")))
-    own = (members.repartition("id").join(failing, "id")
+    own = (spread.join(failing, "id")
            .select("id", "part", "good", "toxic", "bit",
                    F.explode(F.filter(sets, lambda s: s.bitwiseAND(F.col("bit")) == 0)).alias("prefix")))
     removed = as_table(own.join(gone, caught, "left_anti").groupBy("part", "bit", "prefix").agg(
