@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellum.llm import (divergence, fertility, filter_audit, main_text, mixing_lm, ordinal, packing, simhash, suffix_pieces,
-                        threshold_topk, token_counts, warc)
+from vellum.llm import (divergence, fertility, filter_audit, license_scan, main_text, mixing_lm, ordinal, packing,
+                        simhash, suffix_pieces, threshold_topk, token_counts, warc)
 from vellum.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -185,3 +185,15 @@ o AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value,
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM o)
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM r WHERE part = 'pair' OR rank <= 50
 """
+
+
+@query
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    words, labels = F.transform("base", lambda x: x["word"]), license_scan.labelled
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"), F.array_min(words).alias("first_word"),
+        F.array_max(words).alias("last_word"), F.array_join(labels("base"), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_union(labels("base"), labels("hits"))), ",").alias("labels"),
+        license_scan.certainty().alias("score"), F.size("hits").cast("long").alias("n_hits"))
