@@ -384,21 +384,22 @@ def test_lm_scores(spark, documents):
 
 
 def test_lm_probabilities_sum_to_one():
-    leaves = np.zeros((32, 256), np.int64)
-    rng = np.random.default_rng(0)
-    hashes, classes = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), rng.integers(1, 6, 500)
-    np.add.at(leaves, (classes, (hashes >> np.uint64(56)).astype(int)), 1)
+    """Over all words of a vocabulary, whatever the predictors say of each decision."""
+    rng, classes, width = np.random.default_rng(0), 1 << mixing_lm.CLASS_BITS, 1 << mixing_lm.HASH_BITS
+    hashes, known = rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2), rng.integers(1, 6, 500)
+    leaf = (hashes >> np.uint64(64 - mixing_lm.HASH_BITS)).astype(int)
+    leaves = np.zeros((classes, width), np.int64)
+    np.add.at(leaves, (known, leaf), 1)
     code = mixing_lm.Code(leaves)
-    node, bit, used = code.decisions(classes, hashes)
-    p = {}
-    share = np.ones(500)
+    node, bit, used = code.decisions(known, hashes)
+    p, share = {}, np.ones(500)
     for i in range(500):
-        for g in range(mixing_lm.GATES):
-            if used[i, g]:
-                q = p.setdefault(int(node[i, g]), rng.random())
-                share[i] *= q if bit[i, g] else 1 - q
-    share /= 2 ** code.rest[classes, (hashes >> np.uint64(56)).astype(int)]
-    assert share.sum() < 1 + 1e-9
+        for g in np.flatnonzero(used[i]):
+            q = p.setdefault(int(node[i, g]), rng.random())
+            share[i] *= q if bit[i, g] else 1 - q
+    share /= 2 ** code.rest[known, leaf]
+    classes_met = np.bincount(known, share)  # what is left of one belongs to classes and leaves without words
+    assert 0 < share.sum() <= 1 + 1e-9 and (classes_met[1:] > 0).all()
 
 
 def test_lm_hard(hard):

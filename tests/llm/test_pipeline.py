@@ -1,8 +1,9 @@
 """The pipeline against its operators run one by one on a small table."""
 
 import corpus_pipeline
+from tests.llm.test_near_copies import brute_kept
 from tests.llm.test_operators import SF, check_packed
-from vellum.llm import fertility, ordinal, packing, simhash
+from vellum.llm import fertility, ordinal, packing
 from vellum.llm.shared import table, vocabulary_path
 
 
@@ -14,7 +15,7 @@ def test_stages(spark):
     scores = {r.doc_id for r in ordinal.score(docs, model).where(ordinal.selected()).collect()}
     sound = {r.doc_id for r in fertility.quality_rules(docs).where("kept").collect()} & scores
     left = docs.where(docs.doc_id.isin(list(sound)))
-    first = {r.doc_id for r in simhash.near_duplicates(left).where("doc_id = component_id").collect()}
+    first = brute_kept({r.doc_id: r.text for r in left.collect()})
     stage = docs
     for (_, run), want in zip(corpus_pipeline.STAGES[:3], (scores, sound, first)):
         stage = run(spark, stage, SF)
