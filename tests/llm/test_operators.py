@@ -427,3 +427,15 @@ def test_simhash_hard(hard):
     assert len(got) == hard.count()
     zero = [r for r in got if r.fp == 0]
     assert len(zero) == 4 and {r.component_id for r in zero} == {0}
+
+
+def test_pre_tokens_are_the_librarys():
+    """Texts of every character below U+0300, by the narrow splitter and by the library."""
+    from vellum.llm.pretokens import PreTokenizer
+
+    tokens, rng = PreTokenizer(vocabulary_path("word_bpe_49k.json")), random.Random(4)
+    for below in (0x80, 0x250, 0x300):
+        for _ in range(300):
+            text = "".join(chr(rng.randrange(below)) if rng.random() < 0.7 else rng.choice("'st 'll a1") for _ in range(60))
+            want = tokens._library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(tokens.ids(tokens.split(text)), "<u4").tolist() == want, repr(text)

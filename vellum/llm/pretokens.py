@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import json
+import re
 import struct
 import unicodedata
 
@@ -17,10 +18,25 @@ import regex
 
 #: Below U+0250 lower-casing is by character, so Python and the library agree.
 _BEYOND = regex.compile("[^\x00-ɏ]")
+#: The byte-level alphabet: printable Latin-1 stands for itself, every other byte for the next character from U+0100 on.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_ALPHABET = {b: chr(b) for b in _PRINTABLE} | {
+    b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: Pre-tokens a worker remembers before it starts afresh.
 REMEMBERED = 400_000
 
 
+def _narrow(pattern: str) -> re.Pattern:
+    """The same splits for texts below U+0250 by the faster standard library: each class of the pattern is
+    spelled out as the characters that the regex library finds in it."""
+
+    def spelled(found: re.Match) -> str:
+        held = [c for c in map(chr, range(0x250)) if regex.fullmatch(found[0], c)]
+        return "[" + "".join(map(re.escape, held)) + "]"
+
+    return re.compile(re.sub(r"\[[^]]*\]", spelled, pattern))
+
+
 class PreTokenizer:
     """``split(text)`` gives the pre-tokens of a text, ``ids(pre_tokens)`` their vocabulary ids."""
 
@@ -40,6 +56,8 @@ class PreTokenizer:
                 or any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in special)):
             raise ValueError(f"{path}: not a lower-casing word-end vocabulary")
         self._pattern = regex.compile(splits[0]["pattern"]["Regex"])
+        self._fast = _narrow(splits[0]["pattern"]["Regex"])
+        self._bare = not splits[1]["add_prefix_space"] and not splits[1]["use_regex"]
         self._special = {t["content"]: t["id"] for t in special}
         self._cut = regex.compile("(" + "|".join(map(regex.escape, self._special)) + ")") if special else None
         self._marks = {s[:2] for s in self._special}
@@ -58,8 +76,9 @@ class PreTokenizer:
             if _BEYOND.search(text):
                 text = self._library.normalizer.normalize_str(text)
                 return self._pattern.findall(text)
-            text = unicodedata.normalize("NFC", text)
-        return self._pattern.findall(text.lower())
+            text = unicodedata.normalize("NFC", text).lower()
+            return (self._pattern if _BEYOND.search(text) else self._fast).findall(text)  # a few lie beyond in lower case
+        return self._fast.findall(text.lower())
 
     def ids(self, tokens: list[str]) -> bytes:
         """Ids of pre-tokens as little-endian unsigned 32-bit numbers, one after another."""
@@ -78,6 +97,8 @@ class PreTokenizer:
         """Ids of one pre-token, by the library's own model."""
         if token in self._special:
             return (self._special[token],)
+        if self._bare:  # a pre-token is not split again, so its bytes go to the model as they are
+            return tuple(t.id for t in self._library.model.tokenize(token.encode().decode("latin-1").translate(_ALPHABET)))
         return tuple(t.id for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(token)
                      for t in self._library.model.tokenize(piece))
 
