@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from vellum.catalog import views as V
 from vellum.catalog.registry import query, table
 from vellum.functions import queries as Q, scoring as S, text as T, vocab
-from vellum.operators import lexical, ranking as R, vectors, websearch
+from vellum.operators import lexical, postings, ranking as R, vectors, websearch
+from vellum.session import ensure_checkpoint_dir
 
 TOK = V.tokens_sql
 TOP, CAND = 10, 40
@@ -92,10 +93,14 @@ def candidates(spark, sf):
     return R.cut(adj, CAND).select("query_id", "chunk_id", "score", F.lit("vector").alias("lane"))
 
 
+def term_index(spark, sf):
+    """The stored index of the corpus; the first query that asks for it builds it."""
+    return postings.stored(V.corpus(spark, sf), ensure_checkpoint_dir(spark), "corpus")
+
+
 def bm25_ranked(spark, sf, k):
-    index = lexical.build_index(V.corpus(spark, sf))
     terms = lexical.query_terms(V.benchmark_queries(spark, sf), "query")
-    return lexical.top_k(lexical.scores(index, terms), k)
+    return postings.search(term_index(spark, sf), terms, k).select("query_id", "chunk_id", "bm25", "rank")
 
 
 def pool(spark, sf):
@@ -112,10 +117,15 @@ def _(spark, sf):
     return bm25_ranked(spark, sf, 10)
 
 
-@query("bm25_term_statistics", "RK-1", BASE + BM25_SQL + " SELECT term, df::BIGINT AS df, round(idf,6) AS idf FROM idf JOIN dfs USING (term)")
+TERMS_SQL = f"""WITH t AS (SELECT unnest(list_distinct({TOK("lower(text||' '||regexp_extract(text, '^[A-Za-z]+')||' '||lang||' > '||source)")})) AS term FROM documents),
+ d AS (SELECT term, count(*) AS df FROM t GROUP BY term),
+ r AS (SELECT term, df, ln(((SELECT count(*) FROM documents) - df + 0.5::DOUBLE)/(df + 0.5::DOUBLE)) AS r FROM d)
+SELECT term, df, round(CASE WHEN r < 0 THEN (SELECT avg(r) * 0.25::DOUBLE FROM r) ELSE r END,6) AS idf FROM r"""
+
+
+@query("bm25_term_statistics", "RK-1", TERMS_SQL)
 def _(spark, sf):
-    t = lexical.build_index(V.corpus(spark, sf)).terms
-    return t.select("term", "df", F.round("idf", 6).alias("idf"))
+    return term_index(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 # --- vectors ------------------------------------------------------------------------
@@ -188,8 +198,7 @@ def _(spark, sf):
     cand = candidates(spark, sf)
     terms = lexical.query_terms(q, "query").unionByName(
         R.feedback_terms(cand, q, rows).select("query_id", "term"))
-    ranked = lexical.top_k(lexical.scores(lexical.build_index(rows), terms), CAND + TOP)
-    return R.inject(cand, ranked, TOP, "feedback")
+    return R.inject(cand, postings.search(term_index(spark, sf), terms, CAND + TOP), TOP, "feedback")
 
 
 @query("question_search", "AG-10 RK-7 JN-5", f"""WITH {CENT_SQL}, s AS (SELECT c.label::BIGINT AS query_id, e.label::BIGINT AS chunk_id, e.vec_id AS question_id,

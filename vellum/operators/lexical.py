@@ -1,17 +1,13 @@
-"""BM25 over a term index that Spark derives from the chunk table.
+"""What lexical search has in common: the searchable text of a chunk, terms of queries, cuts.
 
-Okapi weighting; k1, b and the floor for negative idf are parameters
-(``vocab.BM25``).  Statistics always cover the whole corpus: filters apply to
-the scored rows afterwards, so idf never depends on who asked first.
+The index itself is in :mod:`vellum.operators.postings`.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-
-from vellum.functions import text as T, vocab
+from vellum.functions import text as T
 
 
 def indexed_text(text: Column, title: Column, path: Column) -> Column:
@@ -20,23 +16,6 @@ def indexed_text(text: Column, title: Column, path: Column) -> Column:
     return F.lower(F.concat_ws(" ", T.text_or_empty(text), boost, T.text_or_empty(path)))
 
 
-@dataclass(frozen=True)
-class LexicalIndex:
-    """tokens(chunk_id, tokens, dl), terms(term, df, idf) and one-row stats(n, avgdl)."""
-
-    tokens: DataFrame
-    terms: DataFrame
-    stats: DataFrame
-
-    def write(self, path: str) -> None:
-        for name in ("tokens", "terms", "stats"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-
-    @staticmethod
-    def read(spark: SparkSession, path: str) -> "LexicalIndex":
-        return LexicalIndex(*[spark.read.parquet(f"{path}/{n}") for n in ("tokens", "terms", "stats")])
-
-
 def corpus_fingerprint(chunks: DataFrame, corpus_name: str) -> DataFrame:
     """Row count and last id identify a corpus snapshot; an index is stale when they change."""
     n, last = F.count("*"), F.max("chunk_id")
@@ -44,47 +23,12 @@ def corpus_fingerprint(chunks: DataFrame, corpus_name: str) -> DataFrame:
         ":", F.lit(corpus_name), n.cast("string"), last.cast("string"))).alias("fingerprint"))
 
 
-def build_index(chunks: DataFrame) -> LexicalIndex:
-    """Token lists stay with their chunk; only distinct terms per chunk are shuffled for df."""
-    tokens = chunks.select("chunk_id", T.search_tokens(indexed_text(
-        F.col("text"), F.col("title"), F.col("path_text"))).alias("tokens")).withColumn(
-        "dl", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    df = tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(
-        F.count("*").alias("df"))
-    n = stats.select("n").scalar()
-    raw = df.withColumn("raw", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    floor = raw.agg((F.avg("raw") * vocab.BM25["epsilon"]).alias("floor")).scalar()
-    terms = raw.select("term", "df", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-    return LexicalIndex(tokens, terms, stats)
-
-
 def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
     """(query_id, term), each term once per query."""
     return queries.select("query_id", F.explode(F.array_distinct(
         T.search_tokens(F.lower(T.text_or_empty(F.col(text)))))).alias("term"))
 
 
-def scores(index: LexicalIndex, q_terms: DataFrame, k1: float = vocab.BM25["k1"],
-           b: float = vocab.BM25["b"]) -> DataFrame:
-    """(query_id, chunk_id, bm25) for every chunk sharing a term with the query.
-
-    The semi join with the asked terms runs before the tf aggregation, so the
-    shuffle carries only postings that can score.  Term joins carry no hint:
-    AQE broadcasts the query side when its measured size allows and splits the
-    postings of a hot term when it does not.
-    """
-    asked = q_terms.select("term").distinct()
-    tf = (index.tokens.select("chunk_id", "dl", F.explode("tokens").alias("term"))
-          .join(asked, "term", "left_semi")
-          .groupBy("chunk_id", "dl", "term").agg(F.count("*").alias("tf")))
-    avgdl = index.stats.select("avgdl").scalar()
-    gain = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    weighted = q_terms.join(index.terms.select("term", "idf"), "term")
-    return (tf.withColumn("gain", gain).join(weighted, "term")
-            .groupBy("query_id", "chunk_id").agg(F.sum(F.col("idf") * F.col("gain")).alias("bm25")))
-
-
 def top_k(scored: DataFrame, k: int, score: str = "bm25", digits: int = 6) -> DataFrame:
     """Best ``k`` chunks per query, ties by id; the rank filter sits right on the window,
     so Spark trims each partition to ``k`` rows per query before it shuffles."""

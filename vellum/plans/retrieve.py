@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from vellum.operators import context, lexical, ranking, vectors
+from vellum.operators import context, lexical, postings, ranking, vectors
+from vellum.session import ensure_checkpoint_dir
 
 
 def hybrid(queries: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, top_k: int = 10, candidate_k: int = 80,
-           broader: DataFrame | None = None) -> DataFrame:
+           broader: DataFrame | None = None, index: postings.Postings | None = None) -> DataFrame:
     """Vector candidates, step-back and BM25 injection, rerank.
 
-    queries(query_id, query, vector); broader(query_id, vector) holds step-back vectors.
+    queries(query_id, query, vector); broader(query_id, vector) holds step-back vectors; without an
+    ``index`` of the chunks the stored one is taken, or built.
     """
     q = queries.select("query_id", "query")
     found = vectors.top_k(chunk_vectors, queries.select("query_id", "vector"), 2 * max(candidate_k, top_k))
@@ -19,8 +21,8 @@ def hybrid(queries: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, top_
         "query_id", "chunk_id", "score", F.lit("vector").alias("lane"))
     if broader is not None:
         pool = ranking.inject(pool, vectors.top_k(chunk_vectors, broader, candidate_k + top_k), top_k, "step_back")
-    index = lexical.build_index(chunks)
-    keyword = lexical.top_k(lexical.scores(index, lexical.query_terms(q, "query")), candidate_k + 2 * top_k)
+    index = index or postings.stored(chunks, ensure_checkpoint_dir(chunks.sparkSession), "chunks")
+    keyword = postings.search(index, lexical.query_terms(q, "query"), candidate_k + 2 * top_k)
     return ranking.rerank(ranking.inject(pool, keyword, top_k, "bm25"), q, chunks)
 
 
