@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from vellum.catalog import views as V
 from vellum.catalog.registry import query, table
 from vellum.functions import queries as Q, scoring as S, text as T, vocab
-from vellum.operators import lexical, postings, ranking as R, vectors, websearch
+from vellum.operators import containment, lexical, postings, ranking as R, vectors, websearch
 from vellum.session import ensure_checkpoint_dir
 
 TOK = V.tokens_sql
@@ -330,16 +330,20 @@ def _(spark, sf):
     return R.force_one_web_row(d, 5)
 
 
-@query("lexical_candidates", "FN-24", BASE + f"""a AS (SELECT query_id, list_filter({TOK('lower(query)')}, lambda t: length(t)>2 AND NOT list_contains({V.list_sql(vocab.QUERY_STOPWORDS)},t)) AS terms FROM queries),
- p AS (SELECT item_id AS query_id, d.doc_id AS chunk_id FROM benchmark JOIN documents d ON d.doc_id % 40 = item_id % 40)
-SELECT query_id, chunk_id, round(CASE WHEN len(list_distinct(terms))=0 THEN 0 ELSE len(list_filter(terms, lambda t: contains({BLOB},t)))::DOUBLE/len(list_distinct(terms)) END,6) AS score
-FROM p JOIN a USING (query_id) JOIN corpus USING (chunk_id)""")
+@query("lexical_candidates", "FN-24 JN-15", BASE + f"""a AS (SELECT query_id, list_filter({TOK('lower(query)')}, lambda t: length(t)>2 AND NOT list_contains({V.list_sql(vocab.QUERY_STOPWORDS)},t)) AS terms FROM queries),
+ w AS (SELECT query_id, len(list_distinct(terms)) AS n, unnest(terms) AS term FROM a),
+ v AS (SELECT query_id, n, term, count(*) AS weight FROM w GROUP BY ALL),
+ b AS (SELECT chunk_id, {BLOB} AS blob FROM corpus)
+SELECT query_id, chunk_id, round(sum(weight)::DOUBLE/n,6) AS score FROM v JOIN b ON contains(blob, term) GROUP BY query_id, chunk_id, n""")
 def _(spark, sf):
-    q = V.benchmark_queries(spark, sf).withColumn("_slot", F.col("query_id") % 40)
-    rows = V.corpus(spark, sf).withColumn("_slot", F.col("chunk_id") % 40)
-    blob = S.header_blob(F.col("title"), F.col("path_text"), F.col("text"))
-    return rows.join(q, "_slot").select("query_id", "chunk_id", F.round(
-        S.lexical_candidate_score(F.col("query"), blob), 6).alias("score"))
+    """Every benchmark query against every chunk; pairs without a common term have score 0 and are left out."""
+    q = V.benchmark_queries(spark, sf).select("query_id", T.content_terms(
+        T.search_tokens(F.lower("query")), vocab.QUERY_STOPWORDS, 2).alias("terms"))
+    asked = q.select("query_id", F.explode("terms").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("weight"))
+    rows = V.corpus(spark, sf).select("chunk_id", S.header_blob(F.col("title"), F.col("path_text"), F.col("text")).alias("blob"))
+    found = containment.matches(rows, asked, "chunk_id", "blob")
+    sizes = q.select("query_id", F.size(F.array_distinct("terms")).alias("n"))
+    return found.join(sizes, "query_id").select("query_id", "chunk_id", F.round(F.col("matches") / F.col("n"), 6).alias("score"))
 
 
 # --- query understanding ------------------------------------------------------------------------
