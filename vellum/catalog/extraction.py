@@ -154,8 +154,8 @@ def _branch_sql() -> str:
 POOL_SQL = _branch_sql()
 
 
-def pool(spark, sf):
-    return X.branch_pools(chunks(spark, sf), BRANCHES, base_score())
+def pool(spark, sf, cap=X.POOL_CAP):
+    return X.branch_pools(chunks(spark, sf), BRANCHES, base_score(), cap)
 
 
 @query("branch_pools", "EX-1 EX-2 FN-34 JN-14", POOL_SQL + " SELECT branch_name, chunk_id, score, priority_weight, pool_rank FROM pool")
@@ -194,15 +194,45 @@ def _(spark, sf):
 
 
 def deduped(spark, sf):
-    return X.cap_items(X.dedup_items(X.items(pool(spark, sf))), BRANCHES)
+    """Items of whole branches, without a retrieval depth."""
+    return X.cap_items(X.dedup_items(X.items(pool(spark, sf, None))), BRANCHES)
 
 
-@query("branch_items_without_duplicates", "EX-5 EX-3")
+_LIMITS = "CASE branch_ord " + " ".join(f"WHEN {i} THEN {b.max_items}" for i, b in enumerate(BRANCHES)) + " END"
+
+
+def _greedy_sql(source: str, name: str, order: str, threshold: float, between: str) -> str:
+    """``name`` as the greedy survivors g of ``source`` (tokens, ...) numbered by ``order``, with pairs ``name``_p."""
+    return f"""{name}_d AS (SELECT *, row_number() OVER (ORDER BY {order}) AS g FROM {source}),
+ {name}_t AS (SELECT g, branch_ord, len(tokens) AS n, unnest(tokens) AS t FROM {name}_d),
+ {name}_p AS (SELECT a.g AS a, b.g AS b, count(*)::DOUBLE/(a.n+b.n-count(*)) AS s FROM {name}_t a JOIN {name}_t b ON a.t=b.t AND a.branch_ord {between} b.branch_ord
+   AND a.g<b.g AND a.n >= {threshold - 0.01}*b.n AND b.n >= {threshold - 0.01}*a.n GROUP BY a.g, b.g, a.n, b.n HAVING count(*)::DOUBLE/(a.n+b.n-count(*)) >= {threshold}),
+ {name}_n AS (SELECT b AS g, list(a) AS l FROM {name}_p GROUP BY b),
+ {name}_r AS (SELECT 0::BIGINT AS g, []::BIGINT[] AS kept UNION ALL SELECT r.g+1, CASE WHEN list_has_any(coalesce(l,[]), kept) THEN kept ELSE list_append(kept, r.g+1) END
+   FROM {name}_r r LEFT JOIN {name}_n n ON n.g=r.g+1 WHERE r.g < (SELECT max(g) FROM {name}_d)),
+ {name} AS (SELECT d.* FROM {name}_d d WHERE g IN (SELECT unnest(kept) FROM (SELECT kept FROM {name}_r ORDER BY g DESC LIMIT 1)))"""
+
+
+DEDUP_SQL = (ITEM_SQL.replace(" WHERE pool_rank <= 500", "").replace("WITH ", "WITH RECURSIVE ", 1)
+             + ", tok0 AS (SELECT *, list_distinct(regexp_extract_all(lower(clean),'[a-z0-9]+')) AS tk FROM items)"
+             + ", tok AS (SELECT branch_ord, branch_name, chunk_id, pool_rank, priority_weight, CASE WHEN len(tk)=0 THEN [''] ELSE tk END AS tokens FROM tok0), "
+             + _greedy_sql("tok", "own", "branch_ord, priority_weight DESC, pool_rank", X.ITEM_THRESHOLD, "=")
+             + ", placed AS (SELECT branch_ord, branch_name, chunk_id, priority_weight, tokens, row_number() OVER (PARTITION BY branch_ord ORDER BY pool_rank) AS item_ord FROM own)"
+             + f", kept AS (SELECT * FROM placed WHERE item_ord <= {_LIMITS})")
+
+
+@query("branch_items_without_duplicates", "EX-5 EX-3", DEDUP_SQL + " SELECT branch_name, chunk_id, item_ord, priority_weight FROM kept")
 def _(spark, sf):
     return deduped(spark, sf).select("branch_name", "chunk_id", "item_ord", "priority_weight")
 
 
-@query("cross_branch_overrides", "EX-7")
+CROSS_SQL = DEDUP_SQL + ", " + _greedy_sql("kept", "x", "priority_weight DESC, branch_ord, item_ord", X.CROSS_THRESHOLD, "<>") + """,
+ lost AS (SELECT p.b, min(p.a) AS a FROM x_p p JOIN x ON x.g = p.a WHERE p.b NOT IN (SELECT g FROM x) GROUP BY p.b)
+SELECT w.branch_name AS winner_branch, w.chunk_id AS winner_chunk, l.branch_name AS loser_branch, l.chunk_id AS loser_chunk, round(s,3) AS similarity, w.priority_weight AS winner_priority
+FROM lost JOIN x_d w ON w.g=lost.a JOIN x_d l ON l.g=lost.b JOIN x_p p ON p.a=lost.a AND p.b=lost.b"""
+
+
+@query("cross_branch_overrides", "EX-7", CROSS_SQL)
 def _(spark, sf):
     return X.dedup_cross_branch(deduped(spark, sf))
 

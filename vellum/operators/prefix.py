@@ -12,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from vellum.session import ensure_checkpoint_dir
+
 
 def running_sum(df: DataFrame, keys: Sequence[str], order: Sequence[Column], bucket: Column,
                 value: Column, name: str) -> DataFrame:
@@ -46,3 +48,15 @@ def keep_within_budget(df: DataFrame, keys: Sequence[str], order: Sequence[Colum
     """
     out = running_sum(df.withColumn("_len", length), keys, order, bucket, F.col("_len"), "_run")
     return out.where((F.col("_run") <= budget) | (F.col("_run") == F.col("_len"))).drop("_len", "_run")
+
+
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Add ``name``: the 1-based position within ``keys`` along a total ``order`` of any kind.
+
+    Rows are dealt by ranges of (keys, order), so that neither a hot key nor a run of equal scores is one
+    task's, and the partitions are the buckets: their counts give the offsets.  The dealt rows are kept in
+    the checkpoint folder, because ranges drawn anew could differ between the two uses.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()).checkpoint()
+    return row_numbers(dealt, keys, order, F.col("_range"), name).drop("_range")

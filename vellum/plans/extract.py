@@ -19,7 +19,7 @@ def run(chunks: DataFrame, branches: Sequence[X.Branch], base_score: Column, pro
 
 def rerun_report(items: DataFrame, branches: Sequence[X.Branch], project: str, out: str) -> DataFrame:
     """Reports again from checkpointed items, without retrieval."""
-    overrides = X.dedup_cross_branch(items, project=project)
+    overrides = X.dedup_cross_branch(items)
     sinks.write_artifact(overrides, f"{out}/overrides")
     stored = items.sparkSession.read.parquet(f"{out}/overrides")
     lines = X.report_lines(X.without_losers(items, stored), branches, project)
