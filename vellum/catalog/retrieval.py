@@ -8,6 +8,7 @@ from vellum.catalog import views as V
 from vellum.catalog.registry import query, table
 from vellum.functions import queries as Q, scoring as S, text as T, vocab
 from vellum.operators import containment, lexical, postings, ranking as R, vectors, websearch
+from vellum.plans import retrieve
 from vellum.session import ensure_checkpoint_dir
 
 TOK = V.tokens_sql
@@ -249,7 +250,7 @@ def _(spark, sf):
     return R.apply_cross_scores(reranked(spark, sf), logit).select("query_id", "chunk_id", "score", "position")
 
 
-@query("rank_fusion", "RK-12 AG-13 WN-2 RK-13", BASE + BM25_SQL + ", " + VEC_SQL + """, l AS (
+@query("rank_fusion", "RK-12 AG-13 WN-2", BASE + BM25_SQL + ", " + VEC_SQL + """, l AS (
  SELECT query_id, 'bm25' AS list_id, chunk_id, rank, bm25 AS score FROM bmr WHERE rank <= 50
  UNION ALL SELECT query_id, 'vector', chunk_id, rank, score FROM vec WHERE rank <= 50)
 SELECT query_id, chunk_id, round(sum(1.0::DOUBLE/(60+rank)),6) AS rrf_score, CASE WHEN arg_min(score,(rank,list_id))=0 THEN round(sum(1.0::DOUBLE/(60+rank)),6) ELSE arg_min(score,(rank,list_id)) END AS score FROM l GROUP BY 1,2""")
@@ -409,22 +410,51 @@ def _topic_case() -> str:
     return out + "ELSE [] END"
 
 
-@query("sub_topics_and_sub_queries", "FN-46 RK-13", f"""WITH c AS (SELECT item_id, regexp_extract_all(text,'[A-Za-z]+')[1] AS a, regexp_extract_all(text,'[A-Za-z]+')[3] AS b FROM benchmark),
- q AS (SELECT item_id, {_compare_sql()} AS query FROM c), s AS (SELECT *, {_topic_case()} AS topics FROM q),
- u AS (SELECT *, unnest(topics) AS topic FROM s WHERE len(topics) > 0),
- o AS (SELECT *, CASE WHEN regexp_extract(query,'(?i)^(what\\s+is|what\\s+are|how\\s+does|how\\s+do|explain|describe|define)\\b')='' THEN 'what is' ELSE regexp_extract(query,'(?i)^(what\\s+is|what\\s+are|how\\s+does|how\\s+do|explain|describe|define)\\b') END AS opener,
-  list_filter(topics, lambda t: lower(t) <> lower(topic))[1] AS sib FROM u)
-SELECT item_id, query, topic, CASE WHEN len(string_split(topic,' '))>6 THEN topic WHEN len(topics)=2 AND sib IS NOT NULL AND len(string_split(sib,' '))<=4 THEN opener||' '||topic||' versus '||sib ELSE opener||' '||topic END AS sub_query FROM o""")
-def _(spark, sf):
-    words = F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))
-    d = table(spark, sf, "benchmark").select("item_id", F.get(words, F.lit(0)).alias("a"), F.get(words, F.lit(2)).alias("b"))
+_OPENER = "regexp_extract(query,'(?i)^(what\\s+is|what\\s+are|how\\s+does|how\\s+do|explain|describe|define)\\b')"
+SUBS_SQL = f"""s AS (SELECT *, {_topic_case()} AS topics FROM q),
+ u AS (SELECT *, unnest(topics) AS topic, generate_subscripts(topics,1)-1 AS list_id FROM s WHERE len(topics) > 0),
+ o AS (SELECT *, CASE WHEN {_OPENER}='' THEN 'what is' ELSE {_OPENER} END AS opener, list_filter(topics, lambda t: lower(t) <> lower(topic))[1] AS sib FROM u),
+ subs AS (SELECT *, CASE WHEN len(string_split(topic,' '))>6 THEN topic WHEN len(topics)=2 AND sib IS NOT NULL AND len(string_split(sib,' '))<=4 THEN opener||' '||topic||' versus '||sib ELSE opener||' '||topic END AS sub_query FROM o)"""
+
+
+def _questions(d):
+    """``query`` comparing the topics ``a`` and ``b``, in one of the phrasings."""
     expr = F
     for i, c in enumerate(COMPARE):
         parts = [F.col(x[1]) if x in ("{a}", "{b}") else F.lit(x) for x in _pieces(c)]
         expr = expr.when(F.col("item_id") % 6 == i, F.concat(*parts))
-    q = d.select("item_id", expr.alias("query")).withColumn("topics", Q.sub_topics(F.col("query")))
-    return q.select("item_id", "query", "topics", F.explode("topics").alias("topic")).select(
-        "item_id", "query", "topic", Q.sub_query(F.col("query"), F.col("topic"), F.col("topics")).alias("sub_query"))
+    return d.withColumn("query", expr)
+
+
+@query("sub_topics_and_sub_queries", "FN-46", f"""WITH w AS (SELECT item_id, regexp_extract_all(text,'[A-Za-z]+') AS w FROM benchmark),
+ c AS (SELECT item_id, pair, w[2*pair+1] AS a, w[2*pair+2] AS b FROM w, unnest(range(len(w)//2)) r(pair)), q AS (SELECT item_id, pair, {_compare_sql()} AS query FROM c), {SUBS_SQL}
+SELECT item_id, pair, query, topic, sub_query FROM subs""")
+def _(spark, sf):
+    """Questions about every pair of neighbouring words of every benchmark text."""
+    w = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("w") / 2).cast("int") - 1), lambda i: F.struct(
+        i.cast("long").alias("pair"), F.get("w", 2 * i).alias("a"), F.get("w", 2 * i + 1).alias("b")))
+    d = w.where(F.size("w") > 1).select("item_id", F.inline(pairs))
+    q = _questions(d).withColumn("topics", Q.sub_topics(F.col("query")))
+    return q.select("item_id", "pair", "query", "topics", F.explode("topics").alias("topic")).select(
+        "item_id", "pair", "query", "topic", Q.sub_query(F.col("query"), F.col("topic"), F.col("topics")).alias("sub_query"))
+
+
+@query("decomposed_retrieval", "RK-13 RK-12", f"""WITH {V.CORPUS_SQL}, h AS (SELECT item_id, regexp_extract_all(text,'[A-Za-z]+') AS w FROM benchmark),
+ c AS (SELECT item_id, array_to_string(w[:len(w)//2],' ') AS a, array_to_string(w[len(w)//2+1:],' ') AS b FROM h), q AS (SELECT item_id, {_compare_sql()} AS query FROM c), {SUBS_SQL},
+ queries AS (SELECT item_id::VARCHAR||'/'||list_id::VARCHAR AS query_id, sub_query AS query FROM subs), {BM25_SQL},
+ f AS (SELECT item_id AS query_id, chunk_id, round(sum(1.0::DOUBLE/(60+rank)),6) AS rrf_score, arg_min(bm25,(rank,list_id)) AS score
+   FROM bmr JOIN subs ON bmr.query_id = item_id::VARCHAR||'/'||list_id::VARCHAR WHERE rank <= 10 GROUP BY 1,2),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, chunk_id)::BIGINT AS position FROM f)
+SELECT query_id, chunk_id, rrf_score, CASE WHEN score=0 THEN rrf_score ELSE score END AS score, position FROM r WHERE position <= 10""")
+def _(spark, sf):
+    """Comparisons of the two halves of every benchmark text, answered topic by topic and fused."""
+    w = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w"))
+    half = F.floor(F.size("w") / 2).cast("int")
+    d = w.select("item_id", F.array_join(F.slice("w", 1, half), " ").alias("a"), F.array_join(F.slice("w", half + 1, F.size("w")), " ").alias("b"))
+    index = term_index(spark, sf)
+    search = lambda q: postings.search(index, lexical.query_terms(q, "query"), TOP).withColumnRenamed("bm25", "score")
+    return retrieve.decomposed(_questions(d).select(F.col("item_id").alias("query_id"), "query"), search, TOP)
 
 
 def _pieces(template: str) -> list[str]:

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, functions as F
 
+from vellum.functions import queries as Q
 from vellum.operators import context, lexical, postings, ranking, vectors
 from vellum.session import ensure_checkpoint_dir
 
@@ -26,6 +29,22 @@ def hybrid(queries: DataFrame, chunks: DataFrame, chunk_vectors: DataFrame, top_
     return ranking.rerank(ranking.inject(pool, keyword, top_k, "bm25"), q, chunks)
 
 
+def decomposed(queries: DataFrame, retrieve: Callable[[DataFrame], DataFrame], top_k: int = 10) -> DataFrame:
+    """(query_id, chunk_id, rrf_score, score, position) for the queries (query_id, query) that name topics to compare.
+
+    Every query fans out into one focused query for each topic, all of them go through ``retrieve`` together,
+    (query_id, query) to (query_id, chunk_id, score, rank), and each query's lists are fused by
+    reciprocal rank.  Queries that do not decompose have no rows and are left to plain retrieval.
+    """
+    topics = queries.withColumn("topics", Q.sub_topics(F.col("query"))).select("*", F.posexplode("topics").alias("list_id", "topic"))
+    asked = topics.select("query_id", F.col("list_id").cast("string").alias("list_id"), F.concat_ws("/", "query_id", "list_id").alias("_sub"),
+                          Q.sub_query(F.col("query"), F.col("topic"), F.col("topics")).alias("query"))
+    found = retrieve(asked.select(F.col("_sub").alias("query_id"), "query")).withColumnRenamed("query_id", "_sub")
+    lists = found.join(asked.drop("query"), "_sub").select("query_id", "list_id", "chunk_id", "rank", "score")
+    fused = lexical.top_k(ranking.reciprocal_rank_fusion(lists), top_k, "rrf_score")
+    return fused.withColumnRenamed("rank", "position")
+
+
 def answer_context(ranked: DataFrame, top_k: int, intent: str) -> DataFrame:
     """Novelty order, then the context pack."""
     order = ranking.novelty_order(ranked, max_select=top_k).select("query_id", "chunk_id", "position")
