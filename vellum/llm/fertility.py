@@ -9,7 +9,6 @@ symbols, repeated lines and repeated five-word windows come from the same pass.
 
 from __future__ import annotations
 
-import functools
 from array import array
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellum.llm.shared import vocabulary_path
+from vellum.llm.shared import vocabulary_path, worker_memory
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -124,11 +123,6 @@ class Fertility:
         return n, int(counts[self._is_byte[ids[first]]].sum()), float(-(share * np.log2(share)).sum())
 
 
-@functools.lru_cache(maxsize=2)
-def _fertility(path: str) -> Fertility:
-    return Fertility(path)
-
-
 def verdict(band: Band, chars: int, tokens: int, byte_tokens: int, entropy: float) -> str:
     """Name of the first band the text lies outside of, or the empty string."""
     if not tokens:
@@ -183,7 +177,7 @@ def quality_rules(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", band
                        F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), lang.alias("lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = _fertility(path)
+        fertility = worker_memory(Fertility, path)
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 ids, texts, langs = (c.to_pylist() for c in batch.slice(i, TOGETHER).columns)
@@ -208,7 +202,7 @@ def keep_sound(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", bands:
     text_at, lang_at = docs.columns.index(text_col), docs.columns.index(lang_col) if lang_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fertility = _fertility(path)
+        fertility = worker_memory(Fertility, path)
         for batch in batches:
             for i in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(i, TOGETHER)

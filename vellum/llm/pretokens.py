@@ -8,7 +8,6 @@ which Python's lower-casing and the library's are known to agree goes through th
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 import struct
@@ -16,6 +15,8 @@ import unicodedata
 
 import regex
 
+from vellum.llm.shared import worker_memory
+
 #: Below U+0250 lower-casing is by character, so Python and the library agree.
 _BEYOND = regex.compile("[^\x00-ɏ]")
 #: The byte-level alphabet: printable Latin-1 stands for itself, every other byte for the next character from U+0100 on.
@@ -103,6 +104,5 @@ class PreTokenizer:
                      for t in self._library.model.tokenize(piece))
 
 
-@functools.lru_cache(maxsize=2)
 def pre_tokenizer(path: str) -> PreTokenizer:
-    return PreTokenizer(path)
+    return worker_memory(PreTokenizer, path)

@@ -47,6 +47,22 @@ def keyed_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+_held: dict[tuple, object] = {}
+
+
+def worker_memory(make, *key):
+    """``make(*key)``, kept in the worker process until something else is asked for.
+
+    Python workers live on from stage to stage.  What one stage has learnt of a vocabulary must not stay
+    beside what the next one learns, so a worker holds one such object at a time.
+    """
+    asked = (make.__module__, make.__qualname__, *key)
+    if asked not in _held:
+        _held.clear()
+        _held[asked] = make(*key)
+    return _held[asked]
+
+
 def vocabulary_path(name: str) -> str:
     """Where a public vocabulary file lies (a caller may pass any other path instead)."""
     if os.path.isabs(name):

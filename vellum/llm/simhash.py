@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellum.llm.components import components
-from vellum.llm.shared import as_table, keyed_text, work_folder
+from vellum.llm.shared import as_table, keyed_text, work_folder, worker_memory
 
 WORDS = 3
 SEED = 42
@@ -126,6 +126,7 @@ def row_blocks(text_at: int, marks, of: pa.DataType, block_chars: int):
     the rows themselves as a compressed Arrow stream."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memory(dict)  # what an earlier stage has learnt goes
         block = TaskContext.get().partitionId() << 32
         for batch in batches:
             texts = [t or "" for t in batch.column(1).field(text_at).to_pylist()]
