@@ -72,3 +72,34 @@ def test_ranks_over_ranges(spark):
         assert got[i] == seen[k]
     whole = prefix.ranked(df, [], [F.col("i")], "n")
     assert all(r.n == r.i + 1 for r in whole.collect())
+
+
+def test_pools_of_hits(spark):
+    """Filter, boost, priority, fallback and order of retrieved chunks, branch by branch."""
+    branches = (X.Branch("Key", ("alpha", "beta"), priorities=(("s1", 2.0), ("s", 0.5))), X.Branch("Off", ("x",), enabled=False),
+                X.Branch("Topic", ("gamma",), mode="semantic", topic="rivers"), X.Branch("Plain", mode="semantic"))
+    assert [tuple(r) for r in X.branch_queries(spark, branches).collect()] == [(0, "alpha beta"), (2, "rivers"), (3, "Plain")]
+    texts = ["alpha beta", "ALPHA " * 30, "gamma only", "Table of contents alpha", "Contents"]
+    rows = [(q, q * 10 + c, s, t, f"s{c % 3}", 1) for q in (0, 2) for c, (t, s) in enumerate(zip(texts, (0.5, 0.7, 0.9, 0.95, 0.1)))]
+    rows += [(3, 30, 0.3, "Contents", "s1", 1)]  # administrative, but the branch has nothing else
+    hits = spark.createDataFrame(rows, "query_id int, chunk_id int, score double, text string, source_name string, page_start int")
+    got = [(r.branch_name, r.chunk_id, r.score, r.pool_rank) for r in X.pools_of_hits(hits, branches).orderBy("branch_ord", "pool_rank").collect()]
+    assert got == [("Key", 1, 1.5, 1), ("Key", 0, 0.3, 2), ("Topic", 22, 0.9, 1), ("Topic", 21, 0.7, 2), ("Topic", 20, 0.5, 3), ("Plain", 30, 0.3, 1)]
+
+
+def test_branch_retrieval(spark):
+    """Keyword branches hold only chunks with a keyword, the best first; topics find chunks without one."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text.lower() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = entry.queries()["branch_retrieval"](spark, sf).collect()
+    by_branch = {}
+    for r in sorted(rows, key=lambda r: r.pool_rank):
+        by_branch.setdefault(r.branch_name, []).append(r)
+    assert {"Safety", "Topics", "Mentions"} <= by_branch.keys() and "Unused" not in by_branch
+    for name, own in by_branch.items():
+        assert [r.pool_rank for r in own] == list(range(1, len(own) + 1)) and len(own) <= 50
+        assert all(a.score >= b.score for a, b in zip(own, own[1:]))
+    assert all(any(k in texts[r.chunk_id] for k in ("onenth", "password", "erblees")) and r.matches for r in by_branch["Safety"])
+    assert len(by_branch["Topics"]) > 40 and not any(r.matches for r in by_branch["Topics"])

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from vellum.catalog import views as V
+from vellum.catalog import retrieval as Rt, views as V
 from vellum.catalog.registry import query, table
-from vellum.functions import evidence as E, text as T, vocab
+from vellum.functions import embedder, evidence as E, text as T, vocab
 from vellum.operators import extraction as X
+from vellum.plans import extract
 
 BRANCHES = (
     X.Branch("Safety", ("onenth", "password", "erblees"), "Safety scope", 40, priorities=(("src1", 1.5), ("src2", 0.8))),
@@ -158,11 +159,25 @@ def pool(spark, sf, cap=X.POOL_CAP):
     return X.branch_pools(chunks(spark, sf), BRANCHES, base_score(), cap)
 
 
-@query("branch_pools", "EX-1 EX-2 FN-34 JN-14", POOL_SQL + " SELECT branch_name, chunk_id, score, priority_weight, pool_rank FROM pool")
+@query("branch_pools", "EX-2 FN-34 JN-14", POOL_SQL + " SELECT branch_name, chunk_id, score, priority_weight, pool_rank FROM pool")
 def _(spark, sf):
     return pool(spark, sf).select("branch_name", "chunk_id", "score", "priority_weight", "pool_rank")
 
 
+ASKED_BRANCHES = (*BRANCHES, X.Branch("Topics", mode="semantic", topic="onenth thorreou of the stonea and bleing"),
+                  X.Branch("Mentions", ("re.re",), regex=True, mode="semantic", priorities=(("src3", 1.25),)))
+
+
+@query("branch_retrieval", "EX-1 EX-2 RK-3 RK-4 RK-8")
+def _(spark, sf):
+    """Hashed vectors of the texts themselves, the stored index, and every branch as one query."""
+    rows = V.corpus(spark, sf).withColumn("source_name", F.col("doc_id"))
+    vectors = rows.select("chunk_id", embedder.hash_embedding(F.col("text"), 128).alias("embedding"))
+    found = extract.retrieve_pools(rows, vectors, ASKED_BRANCHES, lambda q: embedder.hash_embedding(q, 128),
+                                   index=Rt.term_index(spark, sf))
+    return found.select("branch_name", "chunk_id", "matches", "score", "priority_weight", "pool_rank")
+
+
 @query("scan_batches", "SQ-11 SQ-13 EX-3", POOL_SQL + f""", pv AS (SELECT branch_ord, chunk_id, pool_rank, {V.strip_sql("replace(replace(text,chr(10),' '),chr(13),' ')")} AS l0 FROM pool),
  p1 AS (SELECT branch_ord, chunk_id, pool_rank, {_once_sql('l0')} AS l1 FROM pv), p2 AS (SELECT branch_ord, chunk_id, pool_rank, {_once_sql('l1')} AS l2 FROM p1), p3 AS (SELECT branch_ord, chunk_id, pool_rank, {_once_sql('l2')} AS preview FROM p2),
  g AS (SELECT branch_ord, list({{'u': length(preview)::BIGINT+10, 'b': 1::BIGINT, 'o': []::BIGINT[]}} ORDER BY pool_rank) AS m FROM p3 GROUP BY 1),

@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.operators import extraction as X
+from vellum.operators import extraction as X, postings, ranking
+from vellum.plans import retrieve
 from vellum.sources import sinks
 
 
+def retrieve_pools(chunks: DataFrame, chunk_vectors: DataFrame, branches: Sequence[X.Branch], embed: Callable[[Column], Column],
+                   top_k: int = 50, cap: int | None = X.POOL_CAP, index: postings.Postings | None = None) -> DataFrame:
+    """Pools of all branches from one hybrid retrieval: every branch is a query of the same plan.
+
+    ``chunks`` are searchable chunks with ``source_name``, ``embed`` the model that made ``chunk_vectors``.
+    """
+    asked = X.branch_queries(chunks.sparkSession, branches).withColumn("vector", embed(F.col("query")))
+    found = ranking.cut(retrieve.hybrid(asked, chunks, chunk_vectors, top_k, 2 * top_k, index=index), top_k)
+    hits = found.select("query_id", "chunk_id", "score", "text", "source_name", "page_start")
+    return X.pools_of_hits(hits, branches, cap)
+
+
 def run(chunks: DataFrame, branches: Sequence[X.Branch], base_score: Column, project: str, out: str) -> DataFrame:
     """Run every branch in one plan, write items as the checkpoint, then overrides and the report from it."""
     items = X.cap_items(X.dedup_items(X.items(X.branch_pools(chunks, branches, base_score))), branches)
