@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import functions as F
 
 from vellum.catalog import answers as An, retrieval as Rt, views as V
 from vellum.catalog.registry import query, table
@@ -16,16 +14,10 @@ VOTE_SQL = f"""WITH {Rt.CENT_SQL}, sim AS (SELECT e.vec_id AS query_id, c.label:
 
 
 def _sims(spark, sf):
-    """Similarity of every vector to every label's centroid, one scan for each block of labels."""
+    """Similarity of every vector to every label's centroid."""
     rows = table(spark, sf, "embeddings")
-    cent = sorted(vectors.centroids(rows, "label").toLocalIterator())
-    v, parts = F.col("embedding"), []
-    for i in range(0, len(cent), vectors.QUERY_BLOCK):
-        s = F.array(*[F.struct(F.lit(str(r["query_id"])).alias("label"), F.round(vectors.cosine(
-            v, F.array(*[F.lit(x) for x in r["vector"]])), 6).alias("similarity")) for r in cent[i:i + vectors.QUERY_BLOCK]])
-        parts.append(rows.select(F.col("vec_id").alias("query_id"), F.explode(s).alias("s")).select("query_id", "s.*"))
-    none = spark.createDataFrame([], "query_id bigint, label string, similarity double")
-    return functools.reduce(DataFrame.unionByName, parts) if parts else none
+    found = vectors.all_scores(rows, vectors.centroids(rows, "label"), "vec_id")
+    return found.select(F.col("vec_id").alias("query_id"), F.col("query_id").cast("string").alias("label"), F.col("score").alias("similarity"))
 
 
 @query("example_votes", "RK-27", VOTE_SQL + " SELECT query_id, label, round(vote,6) AS vote FROM v")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vellum.functions import text as T
@@ -13,19 +11,10 @@ from vellum.operators import vectors
 def best_question_per_chunk(questions: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, chunk_id, question_id, score): top ``k`` chunks by their best question.
 
-    Queries go to the questions in blocks of ``QUERY_BLOCK``.  Chunks are ranked by score.  Per query the maximum per chunk is an aggregate, so
-    a chunk owning very many questions is reduced before the shuffle.
+    Per query the maximum per chunk is an aggregate, so a chunk owning very many questions is reduced
+    before the shuffle.
     """
-    rows, parts = list(queries.toLocalIterator()), []
-    for i in range(0, len(rows), vectors.QUERY_BLOCK):
-        sims = [F.struct(F.lit(r["query_id"]).alias("query_id"), F.round(vectors.cosine(
-            F.col("embedding"), F.array(*[F.lit(float(x)) for x in r["vector"]])), 6).alias("score"))
-            for r in rows[i:i + vectors.QUERY_BLOCK]]
-        parts.append(questions.select("chunk_id", "question_id", F.explode(F.array(*sims)).alias("s")).select(
-            "chunk_id", "question_id", "s.*"))
-    none = questions.select("chunk_id", "question_id").join(queries.select("query_id"), F.lit(False)).withColumn(
-        "score", F.lit(0.0))
-    flat = functools.reduce(DataFrame.unionByName, parts) if parts else none
+    flat = vectors.all_scores(questions, queries, "chunk_id", "question_id")
     best = flat.groupBy("query_id", "chunk_id").agg(F.max(F.struct("score", -F.col("question_id"))).alias("m"))
     best = best.select("query_id", "chunk_id", F.col("m.score").alias("score"), (-F.col("m.col2")).alias("question_id"))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")

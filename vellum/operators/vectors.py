@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as ST
 from pyspark.sql.pandas.types import to_arrow_type
 
-QUERY_BLOCK = 256          # query vectors shipped to the tasks at a time
+QUERY_BLOCK = 128          # query vectors shipped to the tasks at a time, on average
 DIGITS = 6
 
 
@@ -47,38 +47,52 @@ def centroids(vectors: DataFrame, key: str, vector: str = "embedding") -> DataFr
         F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("vector"))
 
 
-def _matrix(vectors: Sequence[Sequence[float]]) -> np.ndarray:
-    m = np.asarray(vectors, dtype=np.float64)
-    n = np.linalg.norm(m, axis=1, keepdims=True)
-    return np.divide(m, n, out=np.zeros_like(m), where=n > 0)
-
+class _Block:
+    """Query vectors by length, ready for products with rows of vectors."""
+
+    def __init__(self, vectors: Sequence[Sequence[float] | None]) -> None:
+        self.size, self.by_length = len(vectors), {}
+        for j, v in enumerate(vectors):
+            own = np.array(v or (), np.float64)
+            n = np.linalg.norm(own)
+            if n > 0:
+                self.by_length.setdefault(len(own), ([], []))[0].append(j)
+                self.by_length[len(own)][1].append(own / n)
+        self.by_length = {n: (js, np.array(m)) for n, (js, m) in self.by_length.items()}
+
+    def cosines(self, lists: pa.Array) -> np.ndarray:
+        """Every row with every query; -1 where a vector is missing, of another length or of norm zero."""
+        out = np.full((len(lists), self.size), -1.0)
+        lengths = np.asarray(lists.value_lengths().fill_null(0))
+        for n, (js, m) in self.by_length.items():
+            at = np.flatnonzero(lengths == n)
+            if len(at):
+                rows = np.asarray(lists.take(pa.array(at)).flatten(), dtype=np.float64).reshape(len(at), n)
+                norm = np.linalg.norm(rows, axis=1)
+                at, rows = at[norm > 0], rows[norm > 0] / norm[norm > 0][:, None]
+                out[np.ix_(at, js)] = rows @ m.T
+        return out
+
+
+def query_blocks(queries: DataFrame, *columns: str) -> Iterator[tuple[list, list[_Block]]]:
+    """Ids and blocks of vectors of all queries, about ``QUERY_BLOCK`` at a time: the driver holds one block."""
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    numbered = queries.select("query_id", *columns, F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("_b"))
+    for b in range(blocks):
+        rows = numbered.where(F.col("_b") == b).collect()
+        if rows:
+            yield [r["query_id"] for r in rows], [_Block([r[c] for r in rows]) for c in columns]
 
-def _block_top_k(chunks: DataFrame, ids: list, mats: list[np.ndarray], weights: list[float], k: int,
-                 id_type: ST.DataType, qid_type: ST.DataType) -> DataFrame:
-    schema = ST.StructType([ST.StructField("query_id", qid_type), ST.StructField("chunk_id", id_type),
-                            ST.StructField("score", ST.DoubleType())])
 
-    id_arrow, qid_arrow = to_arrow_type(id_type), to_arrow_type(qid_type)
+def _best(sent, k: int, id_type: pa.DataType, qid_type: pa.DataType):
+    """(chunk_id, embedding) to each query's ``k`` best rows of the task."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = [np.empty(0, dtype=object) for _ in ids]
-        vals = [np.empty(0) for _ in ids]
+        ids, weighted = sent.value
+        keys, vals = [np.empty(0, dtype=object) for _ in ids], [np.empty(0) for _ in ids]
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            lists = batch.column(1)
-            lengths = np.asarray(lists.value_lengths().fill_null(0))
-            good = lengths == mats[0].shape[1]
-            if not good.any():
-                continue
-            lists = lists.filter(pa.array(good))
-            m = np.asarray(lists.flatten(), dtype=np.float64).reshape(int(good.sum()), -1)
-            n = np.linalg.norm(m, axis=1)
-            cid = np.asarray(batch.column(0).to_pylist(), dtype=object)[good][n > 0]
-            m = m[n > 0] / n[n > 0][:, None]
-            total = np.zeros((m.shape[0], len(ids)))
-            for w, q in zip(weights, mats):
-                total += w * (m @ q.T)
+            total = sum(w * block.cosines(batch.column(1)) for w, block in weighted)
+            cid = np.asarray(batch.column(0).to_pylist(), dtype=object)
             for j in range(len(ids)):
                 s = np.concatenate([vals[j], total[:, j]])
                 c = np.concatenate([keys[j], cid])
@@ -96,41 +110,53 @@ def _block_top_k(chunks: DataFrame, ids: list, mats: list[np.ndarray], weights:
         if out:
             q, c, v = zip(*out)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(q, qid_arrow), pa.array(c, id_arrow), pa.array(v, pa.float64())],
+                [pa.array(q, qid_type), pa.array(c, id_type), pa.array(v, pa.float64())],
                 names=["query_id", "chunk_id", "score"])
 
-    return chunks.select("chunk_id", "embedding").mapInArrow(local, schema)
+    return local
 
 
 def top_k(chunks: DataFrame, queries: DataFrame, k: int, blend: float = 1.0) -> DataFrame:
     """(query_id, chunk_id, score, rank): exact cosine top-k of every query.
 
     ``queries`` holds ``vector`` and, when ``blend`` < 1, ``second``; the score is
-    ``blend * cos(vector) + (1 - blend) * cos(second)``.  Queries are handled in
-    blocks of at most ``QUERY_BLOCK``, each task keeps k rows per query, and only
-    those rows are shuffled.
+    ``blend * cos(vector) + (1 - blend) * cos(second)``.  A block of queries is one scan of the chunks; each
+    task keeps k rows per query, and only those rows are shuffled.  No queries give no rows.
     """
-    total = queries.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
-    parts: list[DataFrame] = []
-    qid_type = queries.schema["query_id"].dataType
-    id_type = chunks.schema["chunk_id"].dataType
-    numbered = queries.withColumn("_b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    for b in range(blocks):
-        rows = numbered.where(F.col("_b") == b).collect()
-        if not rows:
-            continue
-        mats, weights = [_matrix([r["vector"] for r in rows])], [blend]
-        if blend < 1.0:
-            mats.append(_matrix([r["second"] for r in rows]))
-            weights.append(1.0 - blend)
-        parts.append(_block_top_k(chunks, [r["query_id"] for r in rows], mats, weights, k, id_type, qid_type))
-    if not parts:
-        raise ValueError("no query vectors")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    spark, qid, cid = chunks.sparkSession, queries.schema["query_id"].dataType, chunks.schema["chunk_id"].dataType
+    schema = ST.StructType([ST.StructField("query_id", qid), ST.StructField("chunk_id", cid), ST.StructField("score", ST.DoubleType())])
+    columns, weights = (("vector",), (blend,)) if blend == 1.0 else (("vector", "second"), (blend, 1.0 - blend))
+    out = spark.createDataFrame([], schema)
+    for ids, blocks in query_blocks(queries, *columns):
+        sent = spark.sparkContext.broadcast((ids, list(zip(weights, blocks))))
+        out = out.union(chunks.select("chunk_id", "embedding").mapInArrow(
+            _best(sent, k, to_arrow_type(cid), to_arrow_type(qid)), schema))
     scored = out.withColumn("score", F.round("score", DIGITS))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("chunk_id"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).withColumn(
         "rank", F.col("rank").cast("bigint"))
+
+
+def _every(sent, qid_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, block = sent.value
+        for batch in batches:
+            for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+                scores = block.cosines(part.column(0))
+                yield pa.RecordBatch.from_arrays(
+                    [*(c.take(pa.array(np.repeat(np.arange(part.num_rows), len(ids)))) for c in part.columns[1:]),
+                     pa.array(ids * part.num_rows, qid_type), pa.array(scores.ravel())],
+                    names=[*part.schema.names[1:], "query_id", "score"])
+
+    return run
+
+
+def all_scores(rows: DataFrame, queries: DataFrame, *keys: str) -> DataFrame:
+    """(keys, query_id, score): the cosine of every row (keys, embedding) with every query (query_id, vector)."""
+    qid = queries.schema["query_id"].dataType
+    schema = ST.StructType([rows.schema[c] for c in keys] + [ST.StructField("query_id", qid), ST.StructField("score", ST.DoubleType())])
+    out = rows.sparkSession.createDataFrame([], schema)
+    for ids, (block,) in query_blocks(queries, "vector"):
+        sent = rows.sparkSession.sparkContext.broadcast((ids, block))
+        out = out.union(rows.select("embedding", *keys).mapInArrow(_every(sent, to_arrow_type(qid)), schema))
+    return out.withColumn("score", F.round("score", DIGITS))
