@@ -27,3 +27,16 @@ def test_a_border_80_characters_before_the_term_counts(spark):
     text = "x" * 20 + " " + "y" * 79 + "term tail."
     df = spark.createDataFrame([(text,)], "text string")
     assert df.select(Ex.passage_around(F.col("text"), F.lit("term"))).first()[0] == "y" * 79 + "term tail."
+
+
+def test_a_web_row_is_forced_and_leads(spark):
+    """Where no web row was chosen the best-placed one replaces the last; the best web score comes first."""
+    rows = [(1, f"c{i}", "internet" if i in (4, 6) else "pdf", 1.0 - i / 10, i + 1) for i in range(8)]
+    rows += [(2, f"c{i}", "internet" if i in (1, 2) else "pdf", (0.9, 0.5, 0.7, 0.6)[i], i + 1) for i in range(4)]
+    rows += [(3, "c0", "pdf", 0.5, 1)]
+    ranked = spark.createDataFrame(rows, "query_id int, chunk_id string, source_type string, score double, authority_rank long")
+    chosen = ranked.where("authority_rank <= 3").withColumn("selected_rank", F.col("authority_rank")).withColumn("diversified", F.lit(False))
+    got = {}
+    for r in Cx.with_web_lead(chosen, ranked, 3).orderBy("query_id", "selected_rank").collect():
+        got.setdefault(r.query_id, []).append(r.chunk_id)
+    assert got == {1: ["c4", "c0", "c1"], 2: ["c2", "c0", "c1"], 3: ["c0"]}

@@ -299,7 +299,7 @@ def _(spark, sf):
     return L.changed_sources(d.select("doc_id", "text"), stored).select("doc_id", "file_hash")
 
 
-@query("corpus_health", "AG-8 JN-7 PR-13", W + """
+@query("corpus_health", "AG-8 PR-13", W + """
 SELECT source_type, structural_role, count(*)::BIGINT AS chunks, count(document_title)::BIGINT AS titled,
  round(100.0::DOUBLE*count(document_title)/greatest(1,count(*)),2) AS titled_pct,
  count(*) FILTER (WHERE doc_id NOT IN (SELECT doc_id FROM docs))::BIGINT AS orphaned FROM chunks GROUP BY 1,2""")
@@ -313,6 +313,23 @@ def _(spark, sf):
         F.count(F.when(F.col("_known").isNull(), 1)).alias("orphaned"))
 
 
+_ORPHAN_SQL = """SELECT '{name}' AS listed, o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS k FROM orders)
+ WHERE k NOT IN (SELECT {value} FROM customer WHERE {where})"""
+LISTED = {"solvent": ("c_custkey", "c_acctbal > 0"), "with a gap": ("CASE WHEN c_acctbal > 0 THEN c_custkey END", "c_acctbal > -500"),
+          "nobody": ("c_custkey", "c_acctbal > 1e9")}
+
+
+@query("orders_not_of_listed_customers", "JN-7", " UNION ALL ".join(
+    _ORPHAN_SQL.format(name=n, value=v, where=w) for n, (v, w) in LISTED.items()))
+def _(spark, sf):
+    """NOT IN against a list without nulls, with one, and an empty one; some keys are null."""
+    from vellum.operators.filters import not_in
+    orders = V.table(spark, sf, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_custkey")).alias("k"))
+    parts = [not_in(orders, V.table(spark, sf, "customer").where(w).selectExpr(f"{v} AS v"), "k", "v").select(
+        F.lit(name).alias("listed"), "o_orderkey") for name, (v, w) in LISTED.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("token_distribution", "AG-9", """
 WITH x AS (SELECT lang, source, n_chars::DOUBLE AS v FROM documents WHERE n_chars > 0)
 SELECT lang, count(v)::BIGINT AS n, min(v) AS min_value, round(quantile_cont(v,0.25),4) AS p25,

@@ -69,6 +69,7 @@ RERANK_SQL = f"""rr0 AS (SELECT p.query_id, p.chunk_id, p.lane, p.score AS vecto
    + CASE WHEN len(qs)>=2 AND contains(array_to_string(tt0,' '), array_to_string(qt0,' ')) THEN 0.14 ELSE 0 END::DOUBLE
    - CASE WHEN token_count_est > 0 AND token_count_est < 20 THEN 0.15 ELSE 0 END::DOUBLE, 6) AS score FROM rr1)"""
 
+BROAD_SQL = "'" + Q.BROAD_REQUEST.replace("'", "''") + "'"
 BASE = f"WITH {V.CORPUS_SQL}, {V.QUERIES_SQL}, "
 HYBRID = BASE + ", ".join([BM25_SQL, VEC_SQL, ADJ_SQL, INJ_SQL, RERANK_SQL])
 
@@ -261,21 +262,41 @@ def _(spark, sf):
     return R.reciprocal_rank_fusion(a.unionByName(b))
 
 
-@query("score_gaps_and_confidence", "WN-3 RK-14 RK-29", HYBRID + """, g AS (SELECT query_id, max(score) FILTER (WHERE r=1) AS top_score,
- COALESCE(round(max(score) FILTER (WHERE r=1) - max(score) FILTER (WHERE r=2),6), 1.0) AS score_gap, max(structural_role) FILTER (WHERE r=1) AS role, max(query) FILTER (WHERE r=1) AS query
- FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM rr) GROUP BY 1)
-SELECT query_id, top_score, score_gap, (score_gap < 0.03 OR top_score < 0.55) AS low_confidence,
- CASE WHEN top_score < 0.55 THEN 'low' WHEN top_score < 0.70 THEN 'medium' WHEN role IN ('index_noise','frontmatter') THEN 'medium' ELSE 'high' END AS band FROM g""")
+@query("score_gaps_and_confidence", "WN-3 RK-14 RK-29", HYBRID + f""", g AS (SELECT query_id, max(score) FILTER (WHERE r=1) AS top_score,
+ COALESCE(round(max(score) FILTER (WHERE r=1) - max(score) FILTER (WHERE r=2),6), 1.0) AS score_gap, max(structural_role) FILTER (WHERE r=1) AS role, max(query) FILTER (WHERE r=1) AS query,
+ max(title||' '||path_text) FILTER (WHERE r=1) AS header FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM rr) GROUP BY 1),
+ h AS (SELECT *, len(list_intersect({TOK('lower(query)')}, {TOK('lower(header)')})) >= 1 AS header_match, regexp_matches(query, {BROAD_SQL}) AND score_gap < 0.06 AS thin FROM g)
+SELECT query_id, top_score, score_gap, (score_gap < 0.03 OR top_score < 0.55) AS low_confidence, header_match,
+ CASE WHEN top_score < 0.55 THEN 'low' WHEN top_score < 0.70 THEN 'medium' WHEN role IN ('index_noise','frontmatter') AND NOT {_has_sql(vocab.METADATA_FACT_HINTS)} THEN 'medium'
+  WHEN header_match THEN 'high' WHEN thin THEN 'medium' ELSE 'high' END AS band FROM h""")
 def _(spark, sf):
     r = reranked(spark, sf)
-    g = R.score_gaps(r, carry=("structural_role", "query"))
+    g = R.score_gaps(r, carry=("structural_role", "query", "title", "path_text"))
+    match = S.header_match(F.col("query"), F.col("title"), F.col("path_text"))
     return g.select("query_id", "top_score", "score_gap",
-                    S.low_confidence(F.col("top_score"), F.col("score_gap")).alias("low_confidence"),
-                    S.confidence_band(F.col("top_score"), F.col("score_gap"), F.col("structural_role"),
-                                      F.col("query"), F.lit(False)).alias("band"))
+                    S.low_confidence(F.col("top_score"), F.col("score_gap")).alias("low_confidence"), match.alias("header_match"),
+                    S.confidence_band(F.col("top_score"), F.col("score_gap"), F.col("structural_role"), F.col("query"), match).alias("band"))
 
 
-@query("clamp_keeping_boosted", "SO-10 RK-16", HYBRID + f""" SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (lane='bm25') DESC, score DESC, chunk_id) AS r FROM rr) WHERE r <= {TOP + 5}""")
+SECOND_TYPE, SECOND_K = "de", 2
+
+
+@query("typed_second_pass", "RK-16 SO-10", HYBRID + f""", top AS (SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM rr) WHERE r <= {TOP}),
+ dv AS (SELECT query_id, chunk_id, score FROM (SELECT s.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS r FROM sims s JOIN corpus c USING (chunk_id) WHERE c.source_type='{SECOND_TYPE}') WHERE r <= {3 * SECOND_K}),
+ da AS (SELECT dv.query_id, dv.chunk_id, round(dv.score + {ROLE_SQL} + least(0.015::DOUBLE * len(list_filter(terms, lambda t: contains({BLOB}, t))), 0.10::DOUBLE),6) AS score FROM dv JOIN kinds USING (query_id) JOIN corpus USING (chunk_id)),
+ di AS (SELECT * FROM (SELECT d.*, row_number() OVER (PARTITION BY d.query_id ORDER BY d.score DESC, d.chunk_id) AS r FROM da d WHERE NOT EXISTS (SELECT 1 FROM top t WHERE t.query_id=d.query_id AND t.chunk_id=d.chunk_id)) WHERE r <= {SECOND_K}),
+ un AS (SELECT query_id, chunk_id, score, FALSE AS boosted FROM top UNION ALL SELECT query_id, chunk_id, score, TRUE FROM di),
+ cl AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, score DESC, chunk_id) AS r FROM un) WHERE r <= {TOP})
+SELECT query_id, chunk_id, score, boosted, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::BIGINT AS position FROM cl""")
+def _(spark, sf):
+    q, rows = V.benchmark_queries(spark, sf), V.corpus(spark, sf)
+    hits = R.cut(reranked(spark, sf).select("query_id", "chunk_id", "score"), TOP)
+    own = rows.where(F.col("source_type") == SECOND_TYPE)
+    found = vectors.top_k(vector_rows(spark, sf).join(own.select("chunk_id"), "chunk_id", "left_semi"), query_vectors(spark, sf), 3 * SECOND_K)
+    return R.second_pass(hits, R.adjust(found, q, own), SECOND_K, TOP)
+
+
+@query("clamp_keeping_boosted", "SO-10", HYBRID + f""" SELECT query_id, chunk_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY (lane='bm25') DESC, score DESC, chunk_id) AS r FROM rr) WHERE r <= {TOP + 5}""")
 def _(spark, sf):
     return R.clamp_keeping(reranked(spark, sf), TOP + 5, F.col("lane") == "bm25").select("query_id", "chunk_id", "score")
 

@@ -42,13 +42,6 @@ def query_overlap_bonus(query: Column, blob: Column) -> Column:
     return F.least(contained(terms, blob) * 0.015, F.lit(0.10))
 
 
-def lexical_candidate_score(query: Column, blob: Column) -> Column:
-    """Matched terms (repeats counted) over distinct terms; may exceed one."""
-    terms = T.content_terms(T.search_tokens(F.lower(query)), vocab.QUERY_STOPWORDS, 2)
-    n = F.size(F.array_distinct(terms))
-    return F.when(n == 0, F.lit(0.0)).otherwise(contained(terms, blob) / F.greatest(n, F.lit(1)))
-
-
 def rerank_score(vector_score: Column, query: Column, text: Column, title: Column, path: Column,
                  tokens: Column, has_table: Column | None = None, alpha_vector: float | None = None,
                  alpha_lexical: float | None = None, prefer_tables: bool = False,
@@ -114,5 +107,11 @@ def confidence_band(top_score: Column, gap: Column, role: Column, query: Column,
             .when(thin, "medium").otherwise("high"))
 
 
+def header_match(query: Column, title: Column, path: Column, least: int = 1) -> Column:
+    """Whether the header of the top row holds at least ``least`` of the query's terms."""
+    header = T.search_tokens(F.lower(F.concat_ws(" ", T.text_or_empty(title), T.text_or_empty(path))))
+    return F.size(F.array_intersect(T.search_tokens(F.lower(query)), header)) >= max(1, least)
+
+
 def low_confidence(top_score: Column, gap: Column) -> Column:
     return (gap < 0.03) | (top_score < 0.55)

@@ -86,15 +86,30 @@ def boundary_order(selected: DataFrame, rank: str = "selected_rank") -> DataFram
     return selected.withColumn("presented", F.when(n <= 2, r).otherwise(spread).cast("bigint"))
 
 
+def with_web_lead(chosen: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
+    """The web row of the best score leads; where none was chosen, the first of ``ranked`` takes the last place."""
+    web = F.col("source_type") == "internet"
+    none = chosen.groupBy("query_id").agg(F.max(web.cast("int")).alias("_any"), F.max("selected_rank").alias("_last")).where("_any = 0")
+    w = Window.partitionBy("query_id").orderBy("authority_rank")
+    late = ranked.where(web).withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
+    # where no web row was chosen, every web row is new to the selection
+    forced = late.join(none, "query_id").withColumn("selected_rank", F.col("_last")).withColumn("diversified", F.lit(False))
+    taken = forced.select("query_id", F.col("_last").alias("selected_rank"))
+    rows = chosen.join(taken, ["query_id", "selected_rank"], "left_anti").unionByName(forced.select(*chosen.columns))
+    best = F.row_number().over(Window.partitionBy("query_id", web).orderBy(F.desc("score"), "selected_rank"))
+    lead = web & (F.col("_b") == 1)
+    order = Window.partitionBy("query_id").orderBy(F.desc(lead.cast("int")), "selected_rank")
+    return rows.withColumn("_b", best).withColumn("selected_rank", F.row_number().over(order).cast("bigint")).drop("_b").where(
+        F.col("selected_rank") <= k)
+
+
 def context_pack(hits: DataFrame, k: int, intent: Column, web_first: bool = False) -> DataFrame:
     """Deduplicate, weigh by authority, select ``k``, order for presentation."""
     clean = drop_near_duplicates(drop_repeated(hits))
     ranked = rank_with_authority(clean, corpus_preferred=True)
     chosen = diversify(ranked, k, intent)
     if web_first:
-        flag = chosen.withColumn("is_web", F.col("source_type") == "internet")
-        w = Window.partitionBy("query_id").orderBy(F.desc(F.col("is_web").cast("int")), "selected_rank")
-        chosen = flag.withColumn("selected_rank", F.row_number().over(w).cast("bigint"))
+        chosen = with_web_lead(chosen, ranked, k)
     return boundary_order(chosen)
 
 

@@ -63,3 +63,15 @@ def compile_filters(chunks: DataFrame, f: RetrievalFilters,
         scope = collections.where(own | (F.col("parent_id") == f.collection_id)).select("collection_id")
         out = out.join(scope, "collection_id", "left_semi")
     return out
+
+
+def not_in(left: DataFrame, right: DataFrame, key: str, among: str) -> DataFrame:
+    """``left`` rows whose ``key`` is NOT IN the ``among`` values of ``right``, with SQL's nulls.
+
+    A null among the values makes every answer unknown, and so no rows; a null key is unknown too, unless there
+    are no values.  Both facts are one aggregate, so the rest is a plain anti join that can be dealt by key.
+    """
+    facts = right.agg(F.count("*").alias("n"), F.count(F.when(F.col(among).isNull(), 1)).alias("nulls"))
+    values = right.where(F.col(among).isNotNull()).select(F.col(among).alias(key)).distinct()
+    n, nulls = facts.select("n").scalar(), facts.select("nulls").scalar()
+    return left.join(values, key, "left_anti").where((n == 0) | ((nulls == 0) & F.col(key).isNotNull()))

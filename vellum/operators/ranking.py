@@ -161,6 +161,19 @@ def clamp_keeping(hits: DataFrame, k: int, keep: Column) -> DataFrame:
     return hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
+def second_pass(hits: DataFrame, found: DataFrame, most: int, k: int) -> DataFrame:
+    """(query_id, chunk_id, score, boosted, position): hits joined by the ``most`` best rows of a pass of their own.
+
+    ``found`` comes from a search restricted to one kind of source, so that a small kind is heard beside a large
+    one.  Rows that are hits already are not taken again; the cut to ``k`` keeps the joined rows first.
+    """
+    new = found.select("query_id", "chunk_id", "score").join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    both = hits.select("query_id", "chunk_id", "score", F.lit(False).alias("boosted")).unionByName(
+        cut(new, most).withColumn("boosted", F.lit(True)))
+    w = Window.partitionBy("query_id").orderBy(*by_rank())
+    return clamp_keeping(both, k, F.col("boosted")).withColumn("position", F.row_number().over(w).cast("bigint"))
+
+
 def score_gaps(hits: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Top score, its lead over the runner-up (1.0 when there is none) and the top row's ``carry`` columns.
 

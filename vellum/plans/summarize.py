@@ -10,7 +10,6 @@ from vellum.functions import cleaning as C, text as T
 from vellum.session import ensure_checkpoint_dir
 
 REDUCE_CHARS = 24_000
-MAX_LAYERS = 12
 
 
 def lead_sentences(parts: Column, each: int = 1) -> Column:
@@ -18,17 +17,17 @@ def lead_sentences(parts: Column, each: int = 1) -> Column:
     return F.array_join(F.transform(parts, lambda p: F.array_join(F.slice(C.sentences(p), 1, each), " ")), " ")
 
 
-def pyramid(parts: DataFrame, reduce: Callable[[Column], Column] = lead_sentences, budget: int = REDUCE_CHARS,
-            max_layers: int = MAX_LAYERS) -> DataFrame:
+def pyramid(parts: DataFrame, reduce: Callable[[Column], Column] = lead_sentences, budget: int = REDUCE_CHARS) -> DataFrame:
     """(doc_id, summary) from ordered parts (doc_id, pos, text), pos counting from 0.
 
     A layer groups ``max(2, budget // average length)`` neighbouring parts and reduces
     each group, so no group exceeds about ``budget`` characters.  Documents that fit
-    take one final reduction.  The layer cap stops a reducer that never shrinks.
+    take one final reduction.  A layer at least halves a document's parts, so layers end after the logarithm
+    of their number, whatever the reducer does.
     """
     ensure_checkpoint_dir(parts.sparkSession)
     cur, done = parts.select("doc_id", "pos", "text"), None
-    for _ in range(max_layers):
+    while True:
         size = cur.groupBy("doc_id").agg(F.sum(F.length("text")).alias("_chars"), F.count("*").alias("_n"))
         j = cur.join(size, "doc_id")
         fits = (F.col("_chars") <= budget) | (F.col("_n") == 1)
@@ -41,7 +40,5 @@ def pyramid(parts: DataFrame, reduce: Callable[[Column], Column] = lead_sentence
             "doc_id", "pos", reduce(F.transform("_p", lambda s: s["text"])).alias("text")).checkpoint()
         if cur.isEmpty():
             break
-    else:
-        done = done.unionByName(cur)
     return done.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "text"))).alias("_p")).select(
         "doc_id", T.strip(reduce(F.transform("_p", lambda s: s["text"]))).alias("summary"))
