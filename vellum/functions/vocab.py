@@ -171,6 +171,11 @@ PREFERRED_DOMAINS = (
     "arstechnica.com", "ibm.com", "mindstudio.ai", "fifa.com", "sportingnews.com", "apnews.com",
     "reuters.com")
 DEMOTED_DOMAINS = ("github.com", "chat4us")
+# Words of a web question that say nothing of its subject.
+WEB_QUERY_STOPWORDS = (
+    "the", "a", "an", "of", "and", "for", "to", "in", "on", "at", "by", "with", "is", "are", "was", "were", "be",
+    "been", "what", "who", "when", "where", "which", "whom", "current", "did", "does", "do", "it", "this", "that",
+    "as", "how", "tell", "explain", "describe", "show", "give", "find", "list", "about", "me", "us")
 WEB = dict(vector_weight=0.72, min_relevance=0.42, strong_local=0.62, cap_below_local=0.02,
            window=900, overlap=160, sentence_cut_after=320, max_non_ascii=0.12, max_cjk=0.15)
 
