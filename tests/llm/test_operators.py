@@ -188,13 +188,13 @@ ARTICLE = "<h1>Head</h1><p>One &amp; two<br>three <b>four</b></p>"
 @pytest.mark.parametrize(("page", "want"), [
     (None, ""), ("", ""), ("plain", "plain"),
     (f"<nav><a href=x>menu</a></nav><div class=ad>buy</div><article>{ARTICLE}</article><footer>c</footer>",
-     "Head\nOne & two\nthree four"),
+     "Head\n\nOne & two\n\nthree four"),
     (f"<article>{ARTICLE}<div id='comments'><p>nice</p></div><aside>more</aside><form>f</form></article>",
-     "Head\nOne & two\nthree four"),
+     "Head\n\nOne & two\n\nthree four"),
     ("<script>var a='<p>no</p>'</script><style>p{}</style><!-- x <p>no</p> --><p>a &lt; b</p>", "a < b"),
     ("<body><div class='cookie-notice'>We use cookies</div><p>Long enough text here</p><div class=sidebar>s</div>",
      "Long enough text here"),
-    ("<p>broken <b>tag<p>next", "broken tag\nnext"), ("<header>site</header>", ""),
+    ("<p>broken <b>tag<p>next", "broken tag\n\nnext"), ("<header>site</header>", ""),
 ])
 def test_main_text(page, want):
     assert main_text.main_text(page) == want

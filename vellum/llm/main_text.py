@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ BETWEEN = "\n\n"
 LINK_SHARE = 0.5
 
 #: Elements whose whole content is never text.
-RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title", "math", "object")
+RAW = ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title")
 #: Elements that end a line.
 BLOCK = frozenset("""address article aside blockquote body br button caption center dd details dialog dir div dl dt
 fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav
@@ -47,13 +47,62 @@ nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header ma
 gdpr notice notices popup modal overlay newsletter subscribe subscription signup login share sharing social related
 recommended recommendations comment comments disqus respond reply replies widget widgets pagination pager skip
 copyright disclaimer""".split())
-#: A heading inside an article may sit in its own header.
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+_OPEN = re.compile(r"<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*))")
+#: What can end a tag or begin a quoted value in it.
+_NEXT = re.compile(r"""=\s*(["'])|>""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+def scanner(page: str) -> Callable[[int], tuple[int, int, bool, str, str] | None]:
+    """A function from a place to the next tag: (beginning, end, whether an end tag, name, attributes).
+
+    Comments and declarations are tags without a name; None where no tag ends any more.  Places only grow.
+
+    A quoted value may hold ``>``.  A quote that is not closed, or whose partner lies behind a ``>`` and ends no
+    value, is stray: the tag ends at its first ``>``.  Each quote and border is looked for once, so the time
+    is linear in the page whatever is broken in it.
+    """
+    quotes = {'"': -1, "'": -1}
+
+    def partner(quote: str, after: int) -> int:
+        if quotes[quote] < after:
+            found = page.find(quote, after)
+            quotes[quote] = len(page) if found < 0 else found
+        return quotes[quote]
+
+    def tag_end(at: int) -> int:
+        first = -1
+        while m := _NEXT.search(page, at):
+            if not m[1]:
+                return m.end()
+            stop = partner(m[1], m.end())
+            if first <= m.end():
+                first = page.find(">", m.end())
+                if first < 0:
+                    return first
+            if first < stop and (stop == len(page) or page[stop + 1: stop + 2] not in (">", "/", " ", "\t", "\n", "\r", "\f")):
+                return first + 1
+            at = stop + 1
+        return -1
+
+    def next_tag(at: int) -> tuple[int, int, bool, str, str] | None:
+        m = _OPEN.search(page, at)
+        if not m:
+            return None
+        if m[2]:
+            end = tag_end(m.end())
+        elif m[0] == "<!--":
+            end = page.find("-->", m.end()) + 3
+            end = len(page) if end < 3 else end
+        else:
+            end = page.find(">", m.end()) + 1 or -1
+        return None if end < 0 else (m.start(), end, bool(m[1]), (m[2] or "").lower(), page[m.end(): end - 1] if m[2] else "")
+
+    return next_tag
+
+
 def _is_side(name: str, attributes: str, in_article: bool) -> bool:
     if name in SIDE:
         return not (name == "header" and in_article)
@@ -97,42 +146,46 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool, bool]], bool]:
             if link:
                 links += len(plain.strip())
 
-    while at < end:
-        m = _TAG.search(page, at)
-        if not m:
-            text(page[at:])
-            break
-        text(page[at: m.start()])
-        at = m.end()
-        name = (m[2] or "").lower()
+    opened: dict[str, int] = {}  # elements of each name on the stack
+
+    def pop() -> str:
+        nonlocal side, article, link
+        name, s, a, k = stack.pop()
+        side, article, link = side - s, article - a, link - k
+        opened[name] -= 1
+        return name
+
+    next_tag = scanner(page)
+    while tag := next_tag(at):
+        begin, stop, ending, name, attributes = tag
+        text(page[at: begin])
+        at = stop
         if not name:
             continue
-        if name in RAW and not m[1]:
-            if not m[3].rstrip().endswith("/"):
-                stop = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
-                at = stop.end() if stop else end
+        if name in RAW and not ending:
+            if not attributes.rstrip().endswith("/"):
+                closed = re.compile(f"</{re.escape(name)}\\b[^>]*>", re.I).search(page, at)
+                at = closed.end() if closed else end
             continue
         if name in BLOCK:
             close()
-        if name in VOID or m[3].rstrip().endswith("/"):
+        if name in VOID or attributes.rstrip().endswith("/"):
             continue
-        if m[1]:
-            if any(s[0] == name for s in reversed(stack)):
-                while stack:
-                    top, s, a, k = stack.pop()
-                    side, article, link = side - s, article - a, link - k
-                    if top == name:
-                        break
-        elif name not in ("p", "li", "b", "i", "em", "strong", "span", "html", "body") or "=" in m[3]:
-            if name == "a" and link:  # links do not nest
+        if ending:
+            if opened.get(name):
+                while pop() != name:
+                    pass
+        elif name not in ("p", "li", "b", "i", "em", "strong", "span", "html", "body") or "=" in attributes:
+            if name == "a":  # links do not nest
                 while stack and link:
-                    _, s, a, k = stack.pop()
-                    side, article, link = side - s, article - a, link - k
-            now = _is_article(name, m[3])
-            entry = (name, _is_side(name, m[3], article > 0), now, name == "a")
+                    pop()
+            now = _is_article(name, attributes)
+            entry = (name, _is_side(name, attributes, article > 0), now, name == "a")
             marked |= now
             stack.append(entry)
+            opened[name] = opened.get(name, 0) + 1
             side, article, link = side + entry[1], article + entry[2], link + entry[3]
+    text(page[at:])
     close()
     return lines, marked
 
@@ -166,14 +219,14 @@ def main_blocks(page: str | None) -> list[str]:
             not lines[i][2] and (lines[i][3] or not marked)]
 
 
-def main_text(page: str | None, between: str = "\n") -> str:
-    """Main text of one page: its blocks joined by ``between``."""
-    return between.join(main_blocks(page))
+def main_text(page: str | None) -> str:
+    """Main text of one page: its blocks with an empty line between them."""
+    return BETWEEN.join(main_blocks(page))
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(h, BETWEEN) for h in batch.column(2).to_pylist()]
+        texts = [main_text(h) for h in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())],
                                          names=["page_id", "url", "text"])
 
@@ -181,8 +234,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every row of ``pages``.
 
-    ``text`` holds the kept blocks with an empty line between them.  A null or empty page, and one without article text, has the empty text.  Null ids and urls
-    stay null, repeated rows give repeated rows, an empty table an empty table; other columns are
+    ``text`` holds the kept blocks with an empty line between them.  A null or empty page, and one without
+    article text, has the empty text.  Null ids and urls stay null, repeated rows give repeated rows, an empty table an empty table; other columns are
     ignored.  Pages are read whole whatever their length; broken markup is read as far as it goes.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"),
