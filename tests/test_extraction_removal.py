@@ -103,3 +103,16 @@ def test_branch_retrieval(spark):
         assert all(a.score >= b.score for a, b in zip(own, own[1:]))
     assert all(any(k in texts[r.chunk_id] for k in ("onenth", "password", "erblees")) and r.matches for r in by_branch["Safety"])
     assert len(by_branch["Topics"]) > 40 and not any(r.matches for r in by_branch["Topics"])
+
+
+def test_category_summaries(spark):
+    """Every line of a category reaches its summary through the layers, and every category the executive one."""
+    from vellum.plans import extract
+
+    rows = [((b, i), name, f"[L{b}-{i:03d}] evidence {'x' * 40}") for b, name in enumerate(("Safety", "SITE ", "other")) for i in range(60)]
+    lines = spark.createDataFrame(rows, "pos struct<b:int, i:int>, branch_name string, line string").repartition(4)
+    marks = lambda ps: F.array_join(F.flatten(F.transform(ps, lambda p: F.regexp_extract_all(p, F.lit(r"\[L\S+\]"), F.lit(0)))), " ")
+    got = {r.category: r.summary for r in extract.category_summaries(lines, ("Safety", "Site", "None"), marks, 900).collect()}
+    want = {c: [f"[L{b}-{i:03d}]" for i in range(60)] for b, c in enumerate(("Safety", "Site"))}
+    assert {c: s.split() for c, s in got.items() if c} == want
+    assert got[None].split() == want["Safety"] + want["Site"]

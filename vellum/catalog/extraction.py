@@ -294,6 +294,12 @@ def _(spark, sf):
     return X.route_categories(lines(spark, sf), ["SAFETY", "Site"]).select("line", "category")
 
 
+@query("category_summaries", "EX-8b EX-8a SQ-8")
+def _(spark, sf):
+    """First sentences of the evidence of three categories, layer by layer, and of their summaries."""
+    return extract.category_summaries(lines(spark, sf), ("Safety", "Controls", "Site"))
+
+
 MOJI = ((". ", " â€œ Page 3 of 9 "), (", ", " [ TABLE ] â€¢ "))
 
 

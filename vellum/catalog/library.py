@@ -184,6 +184,28 @@ def _(spark, sf):
         T.preview(F.col("text")).alias("preview"))
 
 
+SAMPLES = (("uniform", None), ("uniform", "n7"), ("top_body", None), ("top_body", "n7"))
+
+
+def _sample_sql(strategy: str, collection: str | None) -> str:
+    scope = f" AND collection_id = '{collection}'" if collection else ""
+    step = "greatest(1, n // 30)" if strategy == "uniform" else "1"
+    return f"""SELECT '{strategy}' AS strategy, '{collection or 'all'}' AS scope, ((rn-1)//{step} + 1)::BIGINT AS position, chunk_id, doc_id, text FROM (
+ SELECT *, row_number() OVER (ORDER BY doc_id, COALESCE(page_start,0), chunk_id) AS rn, count(*) OVER () AS n FROM chunks
+ WHERE structural_role NOT IN ('document_summary','toc') AND length(text) > 0{scope}) WHERE (rn-1) % {step} = 0 AND (rn-1)//{step} < 30"""
+
+
+@query("sampled_chunk_texts", "SC-6", W + " UNION ALL ".join(_sample_sql(*x) for x in SAMPLES))
+def _(spark, sf):
+    c = V.library_chunks(spark, sf)
+    parts = [L.sample_texts(c, 30, s, scope).select(F.lit(s).alias("strategy"), F.lit(scope or "all").alias("scope"),
+                                                    "position", "chunk_id", "doc_id", "text") for s, scope in SAMPLES]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 @query("sample_corpus_evenly", "SC-6", """
 WITH x AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn, count(*) OVER () AS n FROM documents)
 SELECT doc_id FROM x WHERE (rn-1) % greatest(1, n//30) = 0 AND (rn-1)//greatest(1,n//30) < 30""")

@@ -95,7 +95,7 @@ def _(spark, sf):
     return c.select("chunk_id", "doc_id", "structural_role", "token_count_est", F.md5("text").alias("text_hash"))
 
 
-@query("conversation_summaries", "SQ-8 EX-8b")
+@query("conversation_summaries", "SQ-8")
 def _(spark, sf):
     parts = table(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text")
     return summarize.pyramid(parts, budget=2000)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from vellum.functions import text as T
 from vellum.operators import prefix
@@ -134,6 +134,29 @@ def sample_every_nth(chunks: DataFrame, max_chunks: int, order: Sequence[Column]
     return numbered.where(every & ((F.col("_rn") - 1) / step.scalar() < max_chunks)).drop("_rn")
 
 
+def sample_texts(chunks: DataFrame, max_chunks: int = 30, strategy: str = "uniform", collection: str | None = None) -> DataFrame:
+    """(position, chunk_id, doc_id, text): a repeatable sample of chunk texts in (document, page) order.
+
+    Summaries, contents and empty texts are no candidates; ``collection`` narrows to one collection.  "uniform"
+    takes every ``n // max_chunks``-th text, "top_body" the first ones.  Positions come from ranges of
+    the order, so no task sees the whole corpus.
+    """
+    own = chunks.where(~F.col("structural_role").isin("document_summary", "toc") & (F.coalesce(F.length("text"), F.lit(0)) > 0))
+    if collection is not None:
+        own = own.where(F.col("collection_id") == collection)
+    order = [F.col("doc_id"), F.coalesce("page_start", F.lit(0)), F.col("chunk_id")]
+    slim = own.select("doc_id", "chunk_id", "page_start", "text")
+    if strategy == "top_body":
+        first = slim.orderBy(*order).limit(max_chunks)
+        return first.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("bigint")).select(
+            "position", "chunk_id", "doc_id", "text")
+    ranked = prefix.ranked(slim, [], order, "_rn")
+    step = own.agg(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / max_chunks)).alias("step")).scalar()
+    place = (F.col("_rn") - 1) / step
+    return ranked.where(((F.col("_rn") - 1) % step == 0) & (place < max_chunks)).select(
+        (F.floor(place) + 1).cast("bigint").alias("position"), "chunk_id", "doc_id", "text")
+
+
 # --- keyed merges ---------------------------------------------------------------
 def upsert_documents(current: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming rows replace current ones; a missing incoming hash keeps the stored hash."""

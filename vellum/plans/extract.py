@@ -6,8 +6,8 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from vellum.operators import extraction as X, postings, ranking
-from vellum.plans import retrieve
+from vellum.operators import extraction as X, postings, prefix, ranking
+from vellum.plans import retrieve, summarize
 from vellum.sources import sinks
 
 
@@ -23,6 +23,24 @@ def retrieve_pools(chunks: DataFrame, chunk_vectors: DataFrame, branches: Sequen
     return X.pools_of_hits(hits, branches, cap)
 
 
+def category_summaries(lines: DataFrame, categories: Sequence[str], reduce: Callable[[Column], Column] = summarize.lead_sentences,
+                       budget: int = summarize.REDUCE_CHARS) -> DataFrame:
+    """(category, summary) of the evidence lines (pos, branch_name, line) routed to each category, and an executive
+    summary (category NULL) over them.  ``reduce`` stands for the model; layers keep its input at ``budget``
+    characters however much evidence a category holds.  Lines that only a model could route are left out.
+    """
+    routed = X.route_categories(lines, categories).where("category IS NOT NULL").select("category", "pos", "line")
+    placed = prefix.ranked(routed, ["category"], [F.col("pos"), F.col("line")], "n")
+    parts = placed.select(F.col("category").alias("doc_id"), (F.col("n") - 1).alias("pos"), F.col("line").alias("text"))
+    each = summarize.pyramid(parts, reduce, budget).checkpoint()
+    place = F
+    for i, c in enumerate(categories):
+        place = place.when(F.col("doc_id") == c, F.lit(i).cast("bigint"))
+    whole = each.select(F.lit("").alias("doc_id"), place.alias("pos"), F.concat_ws(": ", "doc_id", "summary").alias("text"))
+    return each.withColumnRenamed("doc_id", "category").unionByName(
+        summarize.pyramid(whole, reduce, budget).select(F.lit(None).cast("string").alias("category"), "summary"))
+
+
 def run(chunks: DataFrame, branches: Sequence[X.Branch], base_score: Column, project: str, out: str) -> DataFrame:
     """Run every branch in one plan, write items as the checkpoint, then overrides and the report from it."""
     items = X.cap_items(X.dedup_items(X.items(X.branch_pools(chunks, branches, base_score))), branches)
