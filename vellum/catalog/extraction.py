@@ -300,6 +300,23 @@ def _(spark, sf):
     return extract.category_summaries(lines(spark, sf), ("Safety", "Controls", "Site"))
 
 
+@query("suggested_branches", "EX-12", """WITH w AS (SELECT item_id, regexp_extract_all(text,'[A-Za-z]+') AS w FROM benchmark), v AS (SELECT * FROM w WHERE len(w) >= 4 AND item_id % 6 < 5)
+SELECT item_id, 1::BIGINT AS position, w[1] AS name, 'keyword' AS mode, w[2]||','||w[3] AS keywords, '' AS topic FROM v
+UNION ALL SELECT item_id, 2, w[4], 'semantic', '', array_to_string(w,' ') FROM v""")
+def _(spark, sf):
+    """Proposals worded from benchmark texts: bare, fenced, inside prose, inside an object, and no list at all."""
+    w = table(spark, sf, "benchmark").select("item_id", F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0)).alias("w")).where(F.size("w") >= 4)
+    word = lambda i: F.get("w", F.lit(i))
+    listed = F.concat(F.lit('[{"name": " '), word(0), F.lit(' ", "sample_keywords": ["'), word(1), F.lit('", " ", "'), word(2),
+                      F.lit(' "], "description": "d"}, {"name": "  "}, {"mode": "keyword"}, {"name": "'), word(3),
+                      F.lit('", "mode": "semantic", "sample_keywords": ["x"], "description": " '), F.array_join("w", " "), F.lit(' "}]'))
+    kind = F.col("item_id") % 6
+    answer = (F.when(kind == 0, listed).when(kind == 1, F.concat(F.lit("```json\n"), listed, F.lit("\n```")))
+              .when(kind == 2, F.concat(F.lit("These fit:\n"), listed, F.lit("\nas asked."))).when(kind == 3, F.concat(F.lit('{"branches": '), listed, F.lit("}")))
+              .when(kind == 4, F.concat(F.lit("```\n"), listed, F.lit("```"))).otherwise(F.concat(F.lit("none: "), F.array_join("w", " "))))
+    return X.suggested_branches(w.select("item_id", answer.alias("response"))).withColumn("keywords", F.array_join("keywords", ","))
+
+
 MOJI = ((". ", " â€œ Page 3 of 9 "), (", ", " [ TABLE ] â€¢ "))
 
 

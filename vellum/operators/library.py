@@ -294,11 +294,3 @@ def distribution(df: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFra
         pct(0.5).alias("median_value"), F.round(F.avg(v), 4).alias("mean_value"),
         pct(0.75).alias("p75"), pct(0.95).alias("p95"), F.max(v).alias("max_value"),
         F.round(F.stddev_pop(v), 4).alias("stdev_pop"))
-
-
-def orphaned_chunks(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    return chunks.join(docs.select("doc_id"), "doc_id", "left_anti")
-
-
-def blank_chunks(chunks: DataFrame) -> DataFrame:
-    return chunks.where(F.col("text").isNull() | (F.length(F.trim("text")) == 0))

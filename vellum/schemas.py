@@ -1,40 +1,5 @@
-"""Schemas of the document model, as DDL strings Spark readers accept."""
+"""Schemas of stored lines, as DDL strings Spark readers accept."""
 
 from __future__ import annotations
 
-
-
-DOCUMENT = """doc_id string, source_path string, filename string, num_pages int,
-    source_type string, collection_id string, metadata_json string, file_hash string,
-    created_at timestamp"""
-
-CHUNK = """chunk_id string, doc_id string, section_id string, path_text string, title string,
-    level int, page_start int, page_end int, has_table boolean, token_count_est int,
-    word_count int, structural_role string, source_type string, collection_id string,
-    source_name string, text string"""
-
-SECTION = """doc_id string, section_idx int, section_id string, title string, level int,
-    parent_id string, path_text string, content string, page_start int, page_end int,
-    has_table boolean"""
-
-COLLECTION = "collection_id string, name string, description string, parent_id string, created_at timestamp"
-
-CONVERSATION = """conversation_id string, title string, created_at timestamp,
-    updated_at timestamp, archived int, summary string"""
-
-MESSAGE = """message_id string, conversation_id string, role string, content string,
-    mode string, sequence bigint, created_at timestamp"""
-
-JOB = """job_id string, job_type string, params_json string, status string, attempts int,
-    max_attempts int, error string, created_at timestamp, started_at timestamp,
-    finished_at timestamp"""
-
 RUN_EVENT = "seq bigint, type string, run_id string, kind string, project_slug string, message string"
-
-EXTRACTION_ITEM = """branch_name string, branch_ord int, item_ord int, text string,
-    source_chunk_id string, source_filename string, source_page int, source_kind string,
-    confidence double, priority_weight double"""
-
-EVALUATION_CASE = """case_id string, query string, notes string,
-    expected_chunk_ids array<string>, top_k int, intent string, is_negative boolean,
-    split string, difficulty string, chunk_relevance map<string,int>"""
