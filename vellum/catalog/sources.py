@@ -50,9 +50,10 @@ def _(spark, sf):
 
 
 # --- streams ------------------------------------------------------------------------
-def _events(spark, sf):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+def _arriving(spark, sf, name: str):
+    """A given table as a stream, be it one file or a folder of them."""
+    path = f"{sf}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
 
 
 def _drain(spark, stream, mode: str = "append"):
@@ -66,7 +67,7 @@ def _drain(spark, stream, mode: str = "append"):
 
 @query("streamed_event_numbers", "ST-1 ST-2", "SELECT user_id AS run_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id)::BIGINT AS seq FROM events")
 def _(spark, sf):
-    e = _events(spark, sf).select(F.col("user_id").alias("run_id"), "event_id", "ts")
+    e = _arriving(spark, sf, "events").select(F.col("user_id").alias("run_id"), "event_id", "ts")
     out = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4()}"
     logs.ingest_batches(e, logs.number_batches(out), f"{out}/ckpt").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/data").select("run_id", "event_id", "seq")
@@ -76,8 +77,7 @@ def _(spark, sf):
 SELECT topic, count(*)::BIGINT AS df FROM w WHERE length(topic)>=4 AND topic NOT IN {Mf.STOP} GROUP BY 1""")
 def _(spark, sf):
     out = f"{ensure_checkpoint_dir(spark)}/{uuid.uuid4()}"
-    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
-    docs = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf)
+    docs = _arriving(spark, sf, "documents")
 
     def add(batch, batch_id: int) -> None:
         # One folder per batch id: a replayed batch overwrites itself, so counts stay exact.
