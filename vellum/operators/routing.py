@@ -28,6 +28,8 @@ TITLE_STOPWORDS = (
     "introduction advanced topics foundations concepts approach modern adaptive computation series").split()
 SCOPE_MENTION = (r"(?i)^(?:according\s+to|as\s+(?:described|stated|discussed|explained|defined)\s+in|based\s+on\s+(?:the\s+)?)\s+"
                  r"(.+?)(?:\s+(?:textbook|book|text))?\s*[,;]")
+#: Parts of the titles that share a set of words, each joined by itself.
+SLOTS = 16
 SCOPE_ACRONYM = r"^[Ii]n\s+([A-Z]{2,}(?:\s+[A-Z]{2,})*)\b"
 
 
@@ -107,10 +109,32 @@ def mentioned_title(q: Column) -> Column:
     return F.when(m != "", T.strip(m)).otherwise(F.regexp_extract(T.strip(q), SCOPE_ACRONYM, 1))
 
 
+def _word_sets(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (``key``, words) as (key, words, copies): keys with one set of words, and keys with several or null."""
+    sets = rows.where(F.size("words") > 0).groupBy(key, F.sort_array("words").alias("words")).agg(F.count("*").alias("copies"))
+    several = sets.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").select(key)
+    whole = sets.where(F.col(key).isNotNull())
+    return whole.join(several, key, "left_anti"), whole.join(several, key, "left_semi").unionByName(sets.where(F.col(key).isNull()))
+
+
+def _by_word(sets: DataFrame, key: str) -> DataFrame:
+    """(key, n, word, copies): the words of sets, with the size of their set."""
+    return sets.select(key, F.size("words").alias("n"), "copies", F.explode("words").alias("word")).groupBy(
+        key, "n", "word").agg(F.sum("copies").alias("copies"))
+
+
+def _overlaps(queries: DataFrame, titles: DataFrame, q: str, t: str) -> DataFrame:
+    """(q, t, score) of sets of words that share enough of them; repeated rows count as often as they occur."""
+    met = _by_word(queries, q).withColumnRenamed("copies", "_cq").join(
+        _by_word(titles, t).select(t, "word", F.col("copies").alias("_ct")), "word")
+    return met.groupBy(q, t).agg((F.sum(F.col("_cq") * F.col("_ct")) / F.max("n")).alias("score")).where("score >= 0.5")
+
+
 def scoped_documents(queries: DataFrame, titles: DataFrame) -> DataFrame:
     """(query_id, doc_id, score): documents whose title shares at least half the mention's words, near the best.
 
-    Query and title words meet in an equi-join on the word; only overlaps are counted.
+    Equal mentions and equal titles are one set of words each: sets meet in an equi-join on the word, only overlaps
+    are counted, and ids come back to the sets that are near the best.  Ids with several sets of words go by themselves.
     """
     words = F.array_distinct(F.filter(F.transform(F.regexp_extract_all(
         F.regexp_replace(mentioned_title(F.col("query")), r"'s\b", ""), F.lit("[a-zA-Z]+"), F.lit(0)), F.lower),
@@ -119,11 +143,25 @@ def scoped_documents(queries: DataFrame, titles: DataFrame) -> DataFrame:
     single = mentioned_title(F.col("query")).rlike("^[A-Z][a-zA-Z0-9]*$")
     q = queries.select("query_id", words.alias("words"), (caps | single).alias("one_ok")).where(
         (F.size("words") >= 2) | ((F.size("words") == 1) & F.col("one_ok")))
-    qw = q.select("query_id", F.size("words").alias("n"), F.explode("words").alias("word"))
-    tw = titles.select("doc_id", F.explode(title_tokens(F.col("title"))).alias("word"))
-    hit = qw.join(tw, "word").groupBy("query_id", "doc_id").agg((F.count("*") / F.max("n")).alias("score")).where("score >= 0.5")
-    best = hit.groupBy("query_id").agg(F.max("score").alias("best"))
-    return hit.join(best, "query_id").where(F.col("score") >= F.col("best") - 0.10 - 1e-12).select("query_id", "doc_id", "score")
+    one, many = _word_sets(q.select("query_id", "words"), "query_id")
+    plain, odd = _word_sets(titles.select("doc_id", title_tokens(F.col("title")).alias("words")), "doc_id")
+    q_set, t_set = F.struct("words", "copies").alias("q_set"), F.struct("words", "copies").alias("t_set")
+    one, plain = one.select("query_id", q_set, "words", "copies"), plain.select("doc_id", t_set, "words", "copies")
+    of_sets = _overlaps(one.select("q_set", "words", "copies").distinct(), plain.select("t_set", "words", "copies").distinct(), "q_set", "t_set")
+    of_ids = _overlaps(many, odd.unionByName(plain.drop("t_set")), "query_id", "doc_id").unionByName(
+        _overlaps(one, odd, "query_id", "doc_id"))
+    near = of_sets.join(of_sets.groupBy("q_set").agg(F.max("score").alias("top")), "q_set").where(
+        F.col("score") >= F.col("top") - 0.10 - 1e-12)
+    ours = one.select("query_id", "q_set").join(near, "q_set")
+    best = ours.select("query_id", "score").unionByName(of_ids.select("query_id", "score")).groupBy("query_id").agg(F.max("score").alias("best"))
+    enough = F.col("score") >= F.col("best") - 0.10 - 1e-12
+    found = ours.join(best, "query_id").where(enough).select("query_id", "t_set", "score")
+    # The rows are few before they meet and many after: titles of a set are dealt over slots and partitions are not merged.
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = found.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SLOTS - 1)))).repartition(parts, "t_set", "slot")
+    titled = plain.select("doc_id", "t_set", F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).cast("int").alias("slot")).repartition(parts, "t_set", "slot")
+    return found.join(titled, ["t_set", "slot"]).select("query_id", "doc_id", "score").unionByName(
+        of_ids.join(best, "query_id").where(enough).select("query_id", "doc_id", "score"))
 
 
 def registry_entry(filename: Column, metadata: Column) -> dict[str, Column]:
