@@ -92,3 +92,14 @@ def test_changed_corpus_gets_its_own_index(spark, tmp_path):
     other = postings.stored(spark.createDataFrame([*rows[:-1], (5, "new", None, None)], SCHEMA), folder, "c")
     assert first.postings.inputFiles() == again.postings.inputFiles() != other.postings.inputFiles()
     assert ensure_checkpoint_dir(spark)
+
+
+def test_slots_of_long_texts_hold_few_tokens(spark, tmp_path, monkeypatch):
+    """However long the chunks are, a slot holds about as many tokens."""
+    monkeypatch.setattr(postings, "SMALL_SLOT", 10_000)
+    rows = [(i, " ".join(f"w{(i * 31 + j) % 997}" for j in range(2000)), None, None) for i in range(64)]
+    index = postings.build(spark.createDataFrame(rows, SCHEMA), str(tmp_path / "long"), slot_tokens=8_000)
+    assert index.stats.first()["slots"] == 16
+    asked = spark.createDataFrame([(1, "w5"), (1, "w900")], "query_id long, term string")
+    got = postings.search(index, asked, 5).collect()
+    assert {(r.query_id, r["rank"]): (r.chunk_id, r.bm25) for r in got} == brute(rows, {1: {"w5", "w900"}}, 5)
