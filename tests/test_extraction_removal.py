@@ -116,3 +116,20 @@ def test_category_summaries(spark):
     want = {c: [f"[L{b}-{i:03d}]" for i in range(60)] for b, c in enumerate(("Safety", "Site"))}
     assert {c: s.split() for c, s in got.items() if c} == want
     assert got[None].split() == want["Safety"] + want["Site"]
+
+
+def test_pools_are_cut_in_parts(spark):
+    """The last cut of a branch reads a bounded number of rows, and the pool is that of one ordering."""
+    rows = spark.range(0, 4000, 1, 40).selectExpr("id AS chunk_id", "int(id % 2) AS branch_ord", "double(pmod(hash(id), 50)) AS score", "id % 7 AS other")
+    got = X.ranked_pool(rows, 20)
+    want = {(b, i): n for b in (0, 1) for n, i in enumerate(
+        [r.chunk_id for r in sorted(rows.where(f"branch_ord = {b}").collect(), key=lambda r: (-r.score, r.chunk_id))][:20], 1)}
+    assert {(r.branch_ord, r.chunk_id): r.pool_rank for r in got.collect()} == want and got.columns == [*rows.columns, "pool_rank"]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 2
+
+
+def test_kept_branches_move_no_text(spark):
+    rows = spark.createDataFrame([(0, "a", True), (0, "b", False), (1, "c", False)], "branch_ord int, text string, k boolean")
+    got = X.unless_all_dropped(rows, rows.k)
+    assert {(r.branch_ord, r.text) for r in got.collect()} == {(0, "a"), (1, "c")}
+    assert "BroadcastHashJoin" in got._jdf.queryExecution().sparkPlan().toString()
