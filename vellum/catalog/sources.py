@@ -51,9 +51,9 @@ def _(spark, sf):
 
 # --- streams ------------------------------------------------------------------------
 def _arriving(spark, sf, name: str):
-    """A given table as a stream, be it one file or a folder of them."""
-    path = f"{sf}/{name}.parquet"
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """A given table as a stream, be it one file or a folder of them: only a pattern may name either."""
+    schema = spark.read.parquet(f"{sf}/{name}.parquet").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/[{name[0]}]{name[1:]}.parquet")
 
 
 def _drain(spark, stream, mode: str = "append"):
