@@ -49,7 +49,11 @@ def fingerprint(text: str, words: int = WORDS) -> int:
     else:
         starts, ends = starts[: n - words + 1], ends[words - 1:]
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())], "<u8")
+    return majority(np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends.tolist())], "<u8"))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half the hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
         part = hashes[i: i + (1 << 16)]
