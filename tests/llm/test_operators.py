@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -287,6 +288,27 @@ def test_sentencepiece_matches_the_library(spark, hard, documents):
     assert sorted(r.decoded for r in out.collect()) == sorted(r.text or "" for r in hard.collect())
 
 
+def test_sentencepiece_matches_new_cuts_only(monkeypatch):
+    pieces, seen, matched = suffix_pieces.Pieces(vocabulary_path("piece_bpe_32k.model")), suffix_pieces.Seen(), []
+    known = suffix_pieces.encode_cuts
+    monkeypatch.setattr(suffix_pieces, "encode_cuts", lambda cuts, p: matched.append(cuts) or known(cuts, p))
+    for texts in (["one two", ""], ["two one two", "é日 three"], ["one three"], []):
+        for text, ids in zip(texts, suffix_pieces.encode(texts, pieces, seen)):
+            assert ids.tolist() == pieces.library.encode(text)
+    assert len(matched) == 2 and len({c for cuts in matched for c in cuts}) == sum(map(len, matched))
+
+
+def test_sentencepiece_decodes_columns():
+    pieces = suffix_pieces.Pieces(vocabulary_path("piece_bpe_32k.model"))
+    texts = ["one two", "", " é日\x00", "x" * 300, "<s> don't"]
+    rows = [pieces.library.encode(t) for t in texts] + [None, [], pieces.of_byte[[0xE6, 0x97]].tolist(), [1, 0, 2]]
+    column = pa.array(rows, pa.list_(pa.int32()))
+    for part in (column, column.slice(1), column.slice(3, 4), column.slice(0, 0)):
+        for together in (1, 4, 10_000):
+            assert suffix_pieces.decoded(part, pieces, together).to_pylist() == [
+                suffix_pieces.decode(ids or [], pieces) for ids in part.to_pylist()]
+
+
 def test_suffix_array_orders_suffixes():
     text = np.array([ord(c) for c in "banana" * 30] + [suffix_pieces._BORDER] * 16)
     got = suffix_pieces.suffix_array(text, 16)

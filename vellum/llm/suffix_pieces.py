@@ -7,13 +7,16 @@ once, which gives the range of suffixes, hence the positions, where each occurs.
 (position, length, piece) are sorted by position into a table that the relaxation reads: every cut
 starts as single characters, and in each round joins the leftmost pair of neighbours whose edge has
 the best score, until none is left, which is the vocabulary's own rule.  Characters without a piece
-become bytes.  Every batch is encoded by itself, so memory follows the batch, never the table.
+become bytes.  A task remembers the ids of cuts up to a bound, so later batches match new cuts only; memory
+follows the batch and that bound, never the table.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,12 @@ from vellum.llm.shared import keyed_text, vocabulary_path
 
 #: Characters of texts that are matched together (a longer text is matched alone).
 BATCH_CHARS = 3_000_000
+#: Characters of cuts that a task remembers from batch to batch before it starts anew.
+SEEN_CHARS = 3_000_000
 #: Pieces whose occurrences are laid out together.
 PIECES_TOGETHER = 2048
+#: Ids whose bytes are laid out together (a longer text's are laid out alone).
+IDS_TOGETHER = 1_000_000
 MARK = "▁"
 #: Stands between cuts; above every character.
 _BORDER = 0x110000
@@ -62,6 +69,7 @@ class Pieces:
         for i in bytes_:
             self.raw[i] = bytes([int(words[i][1:-1], 16)])
         self.raw[model.unk_id()] = " ⁇ ".encode()
+        self.spelt = pa.array(self.raw, pa.large_binary())
 
 
 @functools.lru_cache(maxsize=2)
@@ -165,12 +173,25 @@ def relax(text: np.ndarray, first: np.ndarray, table: np.ndarray, pieces: Pieces
 _CUT = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
-def encode(texts: list[str], pieces: Pieces) -> list[np.ndarray]:
-    """Ids of every text."""
-    cuts: dict[str, int] = {}
-    rows = [[cuts.setdefault(c, len(cuts)) for c in _CUT.findall(n)] for n in pieces.library.normalize(texts)]
-    if not cuts:
-        return [np.zeros(0, np.int32)] * len(texts)
+class Seen:
+    """Cuts whose ids are known already, numbered as they came: ``ids[bounds[i]: bounds[i + 1]]`` spell cut i."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(itertools.count().__next__)  # numbers new cuts in order
+        self.ids, self.bounds, self.chars = np.zeros(0, np.int32), np.zeros(1, np.int64), 0
+
+    def learn(self, pieces: Pieces) -> None:
+        """Encode the cuts that have a number and no ids yet."""
+        fresh = [*itertools.islice(self.numbers, len(self.bounds) - 1, None)]
+        if fresh:
+            ids, sizes = encode_cuts(fresh, pieces)
+            self.ids = np.concatenate([self.ids, ids])
+            self.bounds = np.append(self.bounds, self.bounds[-1] + np.cumsum(sizes))
+            self.chars += sum(map(len, fresh))
+
+
+def encode_cuts(cuts: list[str], pieces: Pieces) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of distinct cuts, one after the other, and how many each has."""
     lengths = np.fromiter(map(len, cuts), np.int64, len(cuts))
     first = np.cumsum(lengths + 1) - lengths - 1
     text = np.full(int(first[-1] + lengths[-1]) + pieces.depth, _BORDER, np.int64)
@@ -189,12 +210,20 @@ def encode(texts: list[str], pieces: Pieces) -> list[np.ndarray]:
         for at, raw in zip(where[bare].tolist(), spelt):
             wide[at: at + len(raw)] = pieces.of_byte[list(raw)]
         ids = wide
-    bounds = np.append(np.searchsorted(start, first), len(ids))
-    out = []
+    return ids.astype(np.int32), np.diff(np.append(np.searchsorted(start, first), len(ids)))
+
+
+def encode(texts: list[str], pieces: Pieces, seen: Seen | None = None) -> list[np.ndarray]:
+    """Ids of every text; cuts that ``seen`` knows are not matched again, new ones are added to it."""
+    seen = Seen() if seen is None else seen
+    rows = [np.array([*map(seen.numbers.__getitem__, _CUT.findall(n))], np.int64)
+            for n in pieces.library.normalize(texts)]
+    seen.learn(pieces)
+    sizes, out = np.diff(seen.bounds), []
     for row in rows:
-        row = np.array(row, np.int64)
-        size = bounds[row + 1] - bounds[row]
-        out.append(ids[np.repeat(bounds[row] - np.cumsum(size) + size, size) + np.arange(size.sum())])
+        size = sizes[row]
+        ends = np.cumsum(size)
+        out.append(seen.ids[np.repeat(seen.bounds[row] - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)])
     return out
 
 
@@ -204,6 +233,23 @@ def decode(ids: list[int], pieces: Pieces) -> str:
     return text[1:] if text[:1] == " " else text
 
 
+def decoded(lists: pa.Array, pieces: Pieces, together: int = IDS_TOGETHER) -> pa.Array:
+    """Texts of a column of ids, as :func:`decode` gives them; bytes are laid out for about ``together`` ids at a time."""
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    flat, ends, texts, a = lists.flatten(), np.cumsum(sizes, dtype=np.int64), [], 0
+    while a < len(sizes):
+        done = int(ends[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(ends, done + together, "right")))
+        spelt = pieces.spelt.take(flat.slice(done, int(ends[b - 1]) - done))
+        places = np.frombuffer(spelt.buffers()[1], np.int64, len(spelt) + 1) if len(spelt) else np.zeros(1, np.int64)
+        raw, cuts = spelt.buffers()[2], places[np.append(0, ends[a:b] - done)].tolist()
+        for i, j in zip(cuts[:-1], cuts[1:]):
+            text = raw[i:j].to_pybytes().decode("utf-8", "replace") if j > i else ""
+            texts.append(text[1:] if text[:1] == " " else text)
+        a = b
+    return pa.array(texts, pa.string())
+
+
 def _lists(rows: list[np.ndarray]) -> pa.Array:
     ends = np.cumsum([0, *map(len, rows)])
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int32)
@@ -220,10 +266,13 @@ def encode_documents(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", i
     path = vocabulary_path(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = _pieces(path)
+        pieces, seen = _pieces(path), Seen()
 
         def emit(ids, texts):
-            rows = encode(texts, pieces)
+            nonlocal seen
+            if seen.chars > SEEN_CHARS:
+                seen = Seen()
+            rows = encode(texts, pieces, seen)
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), _lists(rows), pa.array(list(map(len, rows)), pa.int64())],
                 names=["doc_id", "ids", "n_tokens"])
@@ -250,8 +299,7 @@ def decode_documents(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(path)
         for batch in batches:
-            texts = [decode(i.as_py() or [], pieces) for i in batch.column(1)]  # one row's ids at a time
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
+            yield pa.RecordBatch.from_arrays([*batch.columns, decoded(batch.column(1), pieces)],
                                              names=["doc_id", "ids", "n_tokens", "decoded"])
 
     rows = encoded.select("doc_id", F.col(ids_col).alias("ids"), "n_tokens")
