@@ -133,3 +133,29 @@ def test_kept_branches_move_no_text(spark):
     got = X.unless_all_dropped(rows, rows.k)
     assert {(r.branch_ord, r.text) for r in got.collect()} == {(0, "a"), (1, "c")}
     assert "BroadcastHashJoin" in got._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_stored_rows_are_classified_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("boolean")
+    def keep(i):
+        seen.add(1)
+        return i % 2 == 0
+
+    rows = spark.range(10).select(F.col("id").alias("i"), (F.col("id") % 2).alias("branch_ord"))
+    left = X.unless_all_dropped(rows, keep("i"), stored=True)
+    assert sorted(r.i for r in left.collect()) == list(range(10)) and left.count() == 10
+    assert seen.value == 10
+
+
+def test_whole_pools_rank_numbers_not_texts(spark):
+    rng = random.Random(5)
+    rows = [(b, rng.choice([0.5, 0.7, None]), rng.choice([1, 2, None]), rng.choice(["t", None])) for b in (0, 1, 1, 3) * 20]
+    got = X.ranked_pool(spark.createDataFrame(rows, "branch_ord int, score double, chunk_id long, text string"), None).collect()
+    assert sorted(map(str, [tuple(r)[:4] for r in got])) == sorted(map(str, rows))
+    for b in (0, 1, 3):
+        own = sorted((r for r in got if r.branch_ord == b), key=lambda r: r.pool_rank)
+        assert [r.pool_rank for r in own] == list(range(1, len(own) + 1))
+        key = [(-(r.score if r.score is not None else -1), -1 if r.chunk_id is None else r.chunk_id) for r in own]
+        assert key == sorted(key)
