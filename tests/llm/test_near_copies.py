@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -140,3 +141,20 @@ def test_marks_hold_the_fingerprint():
     bits = [sum(h >> i & 1 for h in own) * 2 > len(own) for i in range(64)]
     assert int(near_copies.marks(text)[-1:].view(np.uint64)[0]) == sum(b << i for i, b in enumerate(bits))
     assert len(near_copies.marks(" ")) == 2 and len(near_copies.marks(text)) == 3 + near_copies.BANDS
+
+
+def test_a_crowd_without_centre_loses_no_link(spark, tmp_path):
+    """Sixty pairs of alike texts in the same 32 keys, no two pairs alike: every pair is linked."""
+    rng, texts = random.Random(4), []
+    for _ in range(60):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        texts += [" ".join([*own, *more]) for more in ([], ["end"])]
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_batch(pa.RecordBatch.from_pydict({"doc_id": list(range(120)), "text": texts}, schema))
+    blocks = spark.createDataFrame([(0, sink.getvalue().to_pybytes())], "block long, body binary")
+    marks = [[i, 56 + i % 2, *range(near_copies.BANDS), rng.getrandbits(62)] for i in range(120)]
+    rows = spark.createDataFrame([(i, m, 0, i) for i, m in enumerate(marks)], "fp long, marks array<long>, block long, place int")
+    got = near_copies.similar_pairs(rows, blocks, 1, 5, str(tmp_path)).collect()
+    assert {(r.a, r.b) for r in got} == {(i, i + 1) for i in range(0, 120, 2)}
