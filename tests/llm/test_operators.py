@@ -231,6 +231,22 @@ def test_topk_ties_and_hard_rows(spark):
     assert not got
 
 
+def test_topk_sends_nothing_to_the_driver(spark, monkeypatch):
+    """Blocks of queries meet the shards without a broadcast, which held every block once for each shard."""
+    for name, value in (("QUERIES", 3), ("STRIPE", 2), ("SLOT", 2), ("SLOTS", 2)):
+        monkeypatch.setattr(threshold_topk, name, value, raising=False)
+    rng = np.random.default_rng(8)
+    vectors = rng.integers(-3, 4, (400, 4))
+    df = spark.createDataFrame([(i, v.astype(float).tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    found = threshold_topk.top_k(df.repartition(3), F.col("vec_id") % 20 == 0, k=3, scale=1, shard=30)
+    assert "Broadcast" not in found._jdf.queryExecution().toString()
+    got = collections.defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r.query_id].append((-r.score, r.vec_id))
+    scores = vectors @ vectors.T
+    assert got == {q: sorted((-int(scores[q, i]), i) for i in range(400) if i != q)[:3] for q in range(0, 400, 20)}
+
+
 def test_walk_stops_early():
     rng = np.random.default_rng(2)
     vectors = rng.integers(-20, 20, (4000, 4))

@@ -8,8 +8,10 @@ once that bound is below its kth best score the walk ends.  (A vector that only
 could still win a tie by its id, so equality goes on.)  Each query starts a shard with the kth best
 score found in the shards before it, and only its k best of a task are shuffled.
 
-Queries come in blocks of ``QUERIES``; every block meets every shard once, on a slot that both
-carry, so no task holds all queries or all vectors.
+Queries come in blocks of ``QUERIES``.  Blocks are dealt over stripes and shards over slots, up to about
+``STRIPE`` and ``SLOT`` to one, and each pair of a stripe and a slot is a group of its own: every block
+meets every shard once, both sides are shuffled, and neither the driver nor a task holds all queries
+or all vectors.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from vellum.llm.shared import as_table, work_folder
 
 SHARD = 4096
 QUERIES = 256
+#: Blocks of queries in a stripe, on average; shards in a slot, but for the first ``SLOTS`` slots, which hold fewer.
+STRIPE, SLOT, SLOTS = 128, 8, 64
 #: Places by which all lists advance before scores and bound are looked at again.
 STEP = 32
 
@@ -112,31 +116,25 @@ def walk(query: np.ndarray, vectors: np.ndarray, lists: np.ndarray, ids: np.ndar
 
 
 def _search(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[int, list[tuple[int, int]]] = {}  # of the queries of one block, met shard by shard
-        now = None
-
-        def emit():
-            rows = [(q, v, s) for q, hits in found.items() for s, v in hits]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], schema=_HITS)
-
-        for batch in batches:
-            for block, q_ids, q_vectors, dims, ids, vectors, lists in zip(*(c.to_pylist() for c in batch.columns)):
-                if block != now:
-                    if any(found.values()):
-                        yield emit()
-                    now, found = block, {}
-                ids = np.frombuffer(ids, np.int64)
-                vectors = np.frombuffer(vectors, np.int64).reshape(len(ids), dims)
-                lists = np.frombuffer(lists, np.int32).reshape(dims, len(ids))
-                for q, query in zip(np.frombuffer(q_ids, np.int64).tolist(),
-                                    np.frombuffer(q_vectors, np.int64).reshape(-1, dims)):
+    """Cogroup of the shards of a slot with the blocks of a stripe: the k best of every query among these shards."""
+
+    def run(shards: pa.Table, blocks: pa.Table) -> pa.Table:
+        rows = []
+        for block in blocks.to_pylist() if shards.num_rows else []:
+            dims, found = block["dims"], {}
+            queries = list(zip(np.frombuffer(block["ids"], np.int64).tolist(),
+                               np.frombuffer(block["vectors"], np.int64).reshape(-1, dims)))
+            for raw_ids, raw_vectors, raw_lists in zip(*(shards[c] for c in ("ids", "vectors", "lists"))):
+                ids = np.frombuffer(raw_ids.as_buffer(), np.int64)
+                vectors = np.frombuffer(raw_vectors.as_buffer(), np.int64).reshape(len(ids), dims)
+                lists = np.frombuffer(raw_lists.as_buffer(), np.int32).reshape(dims, len(ids))
+                for q, query in queries:
                     hits = found.get(q, [])
                     kth = hits[k - 1][0] if len(hits) >= k else None
                     more, _ = walk(query, vectors, lists, ids, q, k, kth)
                     found[q] = sorted(hits + more, key=lambda x: (-x[0], x[1]))[:k]
-        if any(found.values()):
-            yield emit()
+            rows += [(q, v, s) for q, hits in found.items() for s, v in hits]
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)] or [pa.array([], pa.int64())] * 3, schema=_HITS)
 
     return run
 
@@ -157,14 +155,20 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id
     shards = as_table(integers(vectors, id_col, vector_col, scale).mapInArrow(_pack(shard, True), SHARDS),
                       f"{folder}/shards")
     blocks = as_table(asked.mapInArrow(_pack(QUERIES, False), SHARDS), f"{folder}/queries")
-    n = shards.count()
-    slots = max(1, n)
-    left = blocks.select(F.col("shard").alias("block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"),
-                         F.col("dims").alias("q_dims"), F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot"))
-    right = shards.withColumn("slot", F.pmod(F.xxhash64("shard"), F.lit(slots)).cast("int"))
-    met = (right.join(left, (right.slot == left.slot) & (right.dims == left.q_dims))
-           .select("block", "q_ids", "q_vectors", "dims", "ids", "vectors", "lists").sortWithinPartitions("block"))
-    hits = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    n, stripes = shards.count(), max(1, -(-blocks.count() // STRIPE))
+    slots = max(1, min(n, SLOTS), n // SLOT)
+
+    def place(places: int) -> Column:
+        return F.pmod(F.xxhash64("shard"), F.lit(places)).cast("int")
+
+    def every(places: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(places - 1)))
+
+    left = shards.withColumn("slot", place(slots)).withColumn("stripe", every(stripes))
+    right = blocks.drop("lists").withColumn("stripe", place(stripes)).withColumn("slot", every(slots))
+    dealt, search = ("dims", "slot", "stripe"), _search(k)
+    hits = left.groupBy(*dealt).cogroup(right.groupBy(*dealt)).applyInArrow(
+        search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))
